@@ -16,10 +16,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
                                       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ') || ' #' || len(ws)] ELSE [] END) AS sh
   FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -29,8 +29,8 @@ inter AS (
   SELECT a, b FROM inter JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)
 ), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (
-  SELECT a AS node, a AS at FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.at
-), low AS (SELECT node, min(at) AS c FROM reach GROUP BY node)
+  SELECT a AS node, a AS reached FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.reached
+), low AS (SELECT node, min(reached) AS c FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.c, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.node = d.doc_id
 """
