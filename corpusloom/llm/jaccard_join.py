@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, connected_components, spread
-from corpusloom.llm.shingles import difference_at_least, folded, mix, overlap, parity_bits, set_digest, shingle_set
+from corpusloom.llm.shingles import differences_at_least, folded, mix, overlap, parity_bits, set_digest, shingle_set, shingle_sets
 
 FULL, DELETED, EMPTY_INDEX, EMPTY_PROBE = 0, 1, 2, 3
-#: Keys of a bucket, members of a block.
-BUCKET_KEYS, BLOCK = 1_500_000, 512
+#: Shingles for each bucket, members of a block, shingles whose keys a task holds at once.
+BUCKET_KEYS, BLOCK, FLUSH = 1_500_000, 512, 300_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -98,21 +98,23 @@ def _segment_keys(sets: list[np.ndarray], band: np.ndarray, bands: Bands) -> tup
     )
 
 
-def _entries(docs: list[int], sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _entries(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the set, key, kind) of all entries of under 65,536 sets, for their own band and for the one below."""
     n = np.array([len(s) for s in sets], np.int64)
     own = bands.of(n)
     below = [i for i in range(len(sets)) if own[i] > 0 and bands.num * n[i] <= bands.den * bands.hi[own[i] - 1]]
     which = np.concatenate((np.arange(len(sets)), np.array(below, np.int64)))
     band = np.concatenate((own, own[below] - 1 if below else np.empty(0, np.int64)))
     at, key, kind = _segment_keys([sets[i] for i in which], band, bands)
-    return np.array(docs, np.int64)[which[at]], key, kind
+    return which[at].astype(np.uint16), key, kind
 
 
-def _pack(doc: np.ndarray, key: np.ndarray, kind: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+def _pack(docs: np.ndarray, at: np.ndarray, key: np.ndarray, kind: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """One row for each bucket: documents, how many keys each has, and the keys in six bytes (46 bits and the kind)."""
-    bucket = ((key & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-    order = np.lexsort((doc, bucket))
-    bucket, doc = bucket[order], doc[order]
+    bucket = ((key & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+    order = np.argsort(at, kind="stable")
+    order = order[np.argsort(bucket[order], kind="stable")]
+    bucket, doc = bucket[order], docs[at[order]]
     six = ((key[order] >> np.uint64(18)) << np.uint64(2)) | kind[order].astype(np.uint64)
     six = six.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -162,24 +164,32 @@ def _bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _block_pairs(bands: Bands):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        n, comp, doc, core, blk = (pdf[c].to_numpy() for c in ("n", "comp", "doc", "core", "blk"))
-        width = min(map(len, pdf["bits"]))
-        bits = np.stack([folded(x, width) for x in pdf["bits"]])
-        left, right = np.nonzero(blk == i)[0], np.nonzero(blk == j)[0]
-        out = []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(comp[y] != comp[x]) & (core[x] | core[y])]
-            most, least = np.maximum(n[y], n[x]), np.minimum(n[y], n[x])
-            y = y[least * bands.den >= most * bands.num]
-            if len(y):
-                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                y = y[apart <= bands.allowed(n[x], n[y])]
-                out.append(np.stack((np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]))))
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
-        return pd.DataFrame({"a": found[0], "b": found[1]})
+    """Pairs of a block of a group's members that lie in different components and may link, by the bitmaps."""
+
+    def of(r) -> Iterator[tuple[int, int]]:
+        n, comp, doc, core = (np.array(x) for x in (r.n, r.comp, r.doc, r.core))
+        width = min(map(len, r.bits))
+        bits = np.stack([folded(x, width) for x in r.bits])
+        blk = np.array(r.blk)
+        left, right = np.flatnonzero(blk == r.i), np.flatnonzero(blk == r.j)
+        step = max(1, (1 << 20) // (len(right) * bits.shape[1] + 1))
+        for k in range(0, len(left), step):
+            x, y = np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step]))
+            most, least = np.maximum(n[x], n[y]), np.minimum(n[x], n[y])
+            ok = (comp[x] != comp[y]) & (core[x] | core[y]) & (least * bands.den >= most * bands.num)
+            if r.i == r.j:
+                ok &= x < y
+            x, y = x[ok], y[ok]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            ok = apart <= bands.allowed(n[x], n[y])
+            yield from zip(np.minimum(doc[x[ok]], doc[y[ok]]).tolist(), np.maximum(doc[x[ok]], doc[y[ok]]).tolist(), strict=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: set[tuple[int, int]] = set()
+            for r in pdf.itertuples(index=False):
+                found.update(of(r))
+            yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -207,8 +217,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first: dict[bytes, int] = {}
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf["doc"].astype(object), pdf["text"], strict=True):
-                s = shingle_set(text, words)
+            for doc, s in zip(pdf["doc"].astype(object), shingle_sets(pdf["text"], words), strict=True):
                 if pd.isna(doc) or not len(s):
                     out.append((None if pd.isna(doc) else int(doc), len(s), None, None, None))
                     continue
@@ -230,14 +239,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         names, sets, held = [], [], 0
 
         def flush():
-            rows = list(_pack(*_entries(names, sets, bands), buckets))
+            rows = list(_pack(np.array(names, np.int64), *_entries(sets, bands), buckets))
             names.clear()
             sets.clear()
             return pd.DataFrame(rows, columns=["bucket", "docs", "counts", "keys"]).astype({"bucket": "int32"})
 
         for pdf in batches:
-            for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
-                s = shingle_set(text, words)
+            for doc, s in zip(pdf["doc"], shingle_sets(pdf["text"], words), strict=True):
                 if not len(s) or (sig := set_digest(s)) in seen:
                     continue
                 if len(seen) > 2_000_000:
@@ -246,7 +254,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 names.append(int(doc))
                 sets.append(s)
                 held += len(s)
-                if held > 1_500_000:
+                if held > FLUSH or len(sets) > 60_000:
                     yield flush()
                     held = 0
         if names:
@@ -263,8 +271,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [difference_at_least(x, y) <= bands.allowed(m, n) for m, n, x, y in zip(pdf["na"], pdf["nb"], pdf["ba"], pdf["bb"], strict=True)]
-            yield pdf.loc[keep, ["a", "b"]]
+            apart = differences_at_least(list(pdf["ba"]), list(pdf["bb"]))
+            yield pdf.loc[apart <= bands.allowed(pdf["na"].to_numpy(), pdf["nb"].to_numpy()), ["a", "b"]]
 
     likely = scratch.save(
         stars.join(once.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
@@ -281,7 +289,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for pdf in batches:
             keep, last, left = [], None, None
             for a, x, y in zip(pdf["a"], pdf["ta"], pdf["tb"], strict=True):
-                if left is None or last is not x and (a, x) != last:
+                if left is None or (a, x) != last:
                     left, last = shingle_set(x, words), (a, x)
                 right = shingle_set(y, words)
                 both = overlap(left, right)
@@ -323,7 +331,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumn("j", F.greatest("blk", "other"))
         .select("gid", "i", "j", "doc", "core", "comp", "n", "bits", "blk")
     )
-    more = scratch.save(open_groups.groupBy("gid", "i", "j").applyInPandas(_block_pairs(bands), "a long, b long").distinct(), "more")
+    lists = [F.collect_list(c).alias(c) for c in ("doc", "core", "comp", "n", "bits", "blk")]
+    more = scratch.save(open_groups.groupBy("gid", "i", "j").agg(*lists).mapInPandas(_block_pairs(bands), "a long, b long").distinct(), "more")
     if more.isEmpty():
         last = comps
     else:

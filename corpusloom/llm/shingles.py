@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.empty(0, np.uint64)
-
-
-class _WordHashes(dict):
-    """Hash of each word; forgotten when it holds too many words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hash_of = _WordHashes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes hashed at once, and bytes of texts taken together.
+_PART, _TOGETHER = 1 << 20, 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,26 +28,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
-    """The distinct shingles of a whole text, sorted.
+def _hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, from a sum over its bytes, each times a number that stands for its place."""
+    if not len(raw):
+        return _EMPTY, np.empty(0, np.int64)
+    at = np.flatnonzero(~_SPACE[raw])
+    if not len(at):
+        return _EMPTY, np.empty(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+    size = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    times = mix(np.arange(1, size.max() + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
+    total = np.add.reduceat((_LOWER[raw[at]].astype(np.uint64) + np.uint64(1)) * times[place], first)
+    return mix(total + size.astype(np.uint64) * _ODD), at[first]
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of any length of bytes, in parts that end at white space."""
+    data = np.frombuffer(raw, np.uint8)
+    if len(data) <= _PART:
+        return _hashed_words(data)
+    hashes, starts, i = [], [], 0
+    while i < len(data):
+        j = min(i + _PART, len(data))
+        while j < len(data) and not (cut := np.flatnonzero(_SPACE[data[j : j + _PART]])).size:
+            j = min(j + _PART, len(data))
+        if j < len(data):
+            j += int(cut[0])
+        h, s = _hashed_words(data[i:j])
+        hashes.append(h)
+        starts.append(s + i)
+        i = j
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _sets_of(texts: list[bytes], words: int) -> list[np.ndarray]:
+    h, start = _words(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    bound = np.concatenate(([0], np.searchsorted(start, ends)))
+    run = h.copy()
+    for i in range(1, words):
+        run = run[:-1] * _ODD + h[i:]
+        run ^= run >> np.uint64(29)
+    run = mix(run + np.uint64(words))
+    out = []
+    for a, b in zip(bound[:-1], bound[1:], strict=True):
+        n = b - a
+        if n >= words:
+            s = np.sort(run[a : b - words + 1])
+            fresh = np.empty(len(s), bool)
+            fresh[0] = True
+            np.not_equal(s[1:], s[:-1], out=fresh[1:])
+            out.append(s[fresh])
+        elif n:
+            one = h[a : a + 1].copy()
+            for i in range(1, n):
+                one = one * _ODD + h[a + i]
+                one ^= one >> np.uint64(29)
+            out.append(mix(one + np.uint64(n)))
+        else:
+            out.append(_EMPTY)
+    return out
+
+
+def shingle_sets(texts, words: int = 5) -> Iterator[np.ndarray]:
+    """The distinct shingles of each whole text, sorted, as 64-bit hashes.
 
     A-Z is lower-cased, words are runs without ASCII white space. A text of fewer
     words has its whole sequence as one shingle; one without words has none.
     """
-    if not text:
-        return _EMPTY
-    tokens = text.translate(_LOWER).split()
-    n = len(tokens)
-    if not n:
-        return _EMPTY
-    h = np.fromiter(map(_hash_of.__getitem__, tokens), np.uint64, n)
-    k = min(words, n)
-    out = h[: n - k + 1].copy()
-    for i in range(1, k):
-        out *= _ODD
-        out += h[i : n - k + 1 + i]
-        out ^= out >> np.uint64(29)
-    return np.unique(mix(out + np.uint64(k)))
+    held, size = [], 0
+    for text in texts:
+        held.append(text or b"")
+        size += len(held[-1])
+        if size > _TOGETHER:
+            yield from _sets_of(held, words)
+            held, size = [], 0
+    if held:
+        yield from _sets_of(held, words)
+
+
+def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
+    return next(shingle_sets([text], words))
 
 
 def set_digest(s: np.ndarray) -> bytes:
@@ -83,9 +139,20 @@ def folded(bitmap: bytes, size: int) -> np.ndarray:
     return a
 
 
-def difference_at_least(a: bytes, b: bytes) -> int:
-    size = min(len(a), len(b))
-    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+def differences_at_least(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """For each pair of bitmaps, how many elements differ at least."""
+    widths = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(widths), np.int64)
+    for wa, wb in np.unique(widths, axis=0):
+        at = np.flatnonzero((widths[:, 0] == wa) & (widths[:, 1] == wb))
+        x = np.frombuffer(b"".join(a[i] for i in at), np.uint64).reshape(len(at), -1)
+        y = np.frombuffer(b"".join(b[i] for i in at), np.uint64).reshape(len(at), -1)
+        while x.shape[1] > y.shape[1]:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        while y.shape[1] > x.shape[1]:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
