@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom.queries import answers, store, structure, text, vectors
+from corpusloom.queries.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (text, store, vectors, structure, answers)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {name: query for m in _MODULES for name, query in m.R.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.R.sql.items()}

@@ -1 +1 @@
-"""Package."""
+"""Scalar functions over text, numbers and vectors, as native column expressions."""

@@ -1 +1 @@
-"""Package."""
+"""Whole jobs composed of operators: index maintenance and retrieval."""

@@ -1 +1 @@
-"""Package."""
+"""Structured Streaming around index maintenance."""
