@@ -166,8 +166,8 @@ def plan_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    """WITH d AS (SELECT o_custkey AS plan, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderpriority AS vcenter_size, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus ELSE '' END AS nsx_model FROM orders)
-SELECT plan, 'C' || (43 + i) AS cell, 'Included' AS value FROM d WHERE i < 35 UNION ALL SELECT plan, 'D' || (43 + i), vcenter_size FROM d WHERE i < 35 UNION ALL SELECT plan, 'H' || (43 + i), nsx_model FROM d WHERE i < 35 AND nsx_model <> ''"""
+    """WITH d AS (SELECT o_custkey AS plan, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderpriority AS vcenter_size, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus ELSE '' END AS nsx_model FROM orders)
+SELECT plan, 'C' || (42 + i) AS cell, 'Included' AS value FROM d WHERE i <= 35 UNION ALL SELECT plan, 'D' || (42 + i), vcenter_size FROM d WHERE i <= 35 UNION ALL SELECT plan, 'H' || (42 + i), nsx_model FROM d WHERE i <= 35 AND nsx_model <> ''"""
 )
 def wld_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders stand for its domains; at most 35 fit on the sheet, which is the feature."""
