@@ -13,6 +13,7 @@ from corpusloom.llm.ego_join import near_duplicates
 from corpusloom.llm.html_extract import extract_main_text
 from corpusloom.llm.jaccard_join import jaccard_components
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.piece_sampling import sample_segmentations
 from corpusloom.llm.quality import classify_quality
 from corpusloom.llm.sharding import shard_by_bytes
 from corpusloom.llm.topk import exact_top_k
@@ -31,6 +32,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False)
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-shards").path("shards")
     return write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op4_sentencepiece_sampling": op4_sentencepiece_sampling,
     "op5_token_id_output": op5_token_id_output,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_toxicity": op7_toxicity,
