@@ -34,17 +34,19 @@ _DRAWN = re.compile(r"(.)\1{2,}")
 _PATTERNS = ("masked", "drawn", "shouted", "several")
 
 
+def word_features(word: str) -> list[int]:
+    """The hashed features of a word, without the marks around it: itself, then its beginnings."""
+    w = word.strip(_EDGE).lower()
+    return [xxhash.xxh3_64_intdigest(x) >> 1 for x in (w, *(f"^{w[:k]}" for k in PREFIXES if len(w) > k))] if w else []
+
+
 class _Features(dict):
-    """The hashed features of a word, without the marks around it: itself, then its beginnings; the masked and drawn-out forms."""
+    """Features of the words met lately."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 50_000:
             self.clear()
-        w = word.strip(_EDGE).lower()
-        h = lambda x: xxhash.xxh3_64_intdigest(x) >> 1
-        out = [h(w)] if w else []
-        out += [h(f"^{w[:k]}") for k in PREFIXES if len(w) > k]
-        self[word] = tuple(out)
+        self[word] = tuple(word_features(word))
         return self[word]
 
 
@@ -59,10 +61,6 @@ def features(text: str) -> np.ndarray:
     return np.fromiter(found, np.int64, len(found))
 
 
-def _plain(word: str) -> str:
-    return word.strip(_EDGE).lower()
-
-
 @dataclass
 class ToxicityModel:
     weights: dict[int, float]
@@ -71,17 +69,21 @@ class ToxicityModel:
     names: tuple[str, ...] = ()
 
     def scorer(self):
-        """A function from a whole text to its score."""
+        """A function from a whole text to its score; made once for each copy of the model."""
+        if "_score" in self.__dict__:
+            return self.__dict__["_score"]
         weights, bias = self.weights, self.bias
-        cache: dict[str, tuple[tuple[int, float], ...]] = {}
+        cache: dict[str, tuple] = {}
+        nothing: tuple = ()
 
-        def known(word: str) -> tuple[tuple[int, float], ...]:
+        def known(word: str) -> tuple:
             got = cache.get(word)
             if got is None:
-                if len(cache) > 500_000:
+                if len(cache) > 200_000:
                     cache.clear()
                 forms = {word, word.translate(_AS_LETTERS), _DRAWN.sub(r"\1", word)}
-                got = cache[word] = tuple({f: weights[f] for x in forms for f in _features[x] if f in weights}.items())
+                hits = {f: weights[f] for x in forms for f in word_features(x) if f in weights}
+                got = cache[word] = tuple(hits.items()) if hits else nothing
             return got
 
         def score(text: str | None) -> float:
@@ -92,6 +94,7 @@ class ToxicityModel:
             z = bias + sum(hits.values())
             return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
+        self.__dict__["_score"] = score
         return score
 
 
