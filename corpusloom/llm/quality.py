@@ -34,7 +34,7 @@ class _Shapes(dict):
     """What is known of a word: its hashed shape in the low bits, and flags above them."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         shape, last = [], ""
         for ch in word[:64]:
