@@ -9,15 +9,16 @@ of them) it also indexes the keys of the subset with one element deleted, which
 segments that differ in one element and so counts for two in the pigeonhole sum.
 
 Cost-based allocation: an empty segment equals every other empty one, so it is the dearest to
-probe. A document gives its empty segments no share as long as its deletion segments
-make up for them (sum of shares >= H + 1); the other documents still find its
-empty segments, as they stay in the index.
+probe; next come segments of frequent shingles alone (of a passage that many documents share). Frequent
+shingles are counted over all documents and kept as a bitmap of fixed size. A document gives its dear segments no
+share as long as its deletion segments make up for them (sum of shares >= H + 1); the other documents still find
+them, as they stay in the index. A key that is in the index alone, probed by none, links nobody.
 
 Keys meet in buckets as packed arrays, not rows. A bucket emits each key group's star
-(smallest document to the others). Stars are pruned by parity bitmaps, verified exactly,
-and joined into components. Groups that still hold several components are then
-compared in blocks, with the bitmaps as exact lower bounds of the difference, and what is
-left is verified exactly too: no link between different components is lost, and no
+(the smallest document that probes it to the others). Stars are pruned by parity bitmaps, verified exactly,
+and joined into components. The stars of one hub, which hold all documents that share a key with it,
+are then compared with each other in blocks where they still lie in several components, with the bitmaps as exact lower bounds
+of the difference, and what is left is verified exactly too: no link between different components is lost, and no
 group is expanded into all its pairs.
 """
 
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, connected_components, spread
 from corpusloom.llm.shingles import differences_at_least, folded, mix, overlap, parity_bits, set_digest, shingle_set, shingle_sets
 
-FULL, DELETED, EMPTY_INDEX, EMPTY_PROBE = 0, 1, 2, 3
-#: Shingles for each bucket, members of a block, shingles whose keys a task holds at once.
+FULL, DELETED, INDEX = 0, 1, 2
+#: Shingles whose keys fill a bucket, members of a block, shingles whose keys a task holds at once.
 BUCKET_KEYS, BLOCK, FLUSH = 1_500_000, 512, 300_000
+#: A frequent shingle is in so many documents of a task and in so many of all; bits of its bitmap, and shingles in it at most.
+LOCAL, FREQUENT, HOT_BITS, HOT_MAX = 3, 24, 1 << 23, 500_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -52,7 +55,7 @@ class Bands:
         self.hi = np.array(ends, np.int64)
         most = np.array([self.allowed(h, h * den // num) for h in ends], np.int64)
         self.m = most + 1
-        self.d = np.where(self.m > 1, 1 + self.m // 10, 0)
+        self.d = np.where(self.m > 1, 1 + self.m // 6, 0)
 
     def allowed(self, a, b):
         """The most elements in which linked sets of sizes a and b differ."""
@@ -62,8 +65,8 @@ class Bands:
         return np.searchsorted(self.hi, n)
 
 
-def _segment_keys(sets: list[np.ndarray], band: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of set, key, kind) of all entries of the sets, each keyed for the band given for it."""
+def _segment_keys(sets: list[np.ndarray], band: np.ndarray, bands: Bands, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of set, key, kind, segment) of all entries of the sets, each keyed for the band given for it."""
     size = np.array([len(s) for s in sets], np.int64)
     m, d = bands.m[band], bands.d[band]
     first = np.concatenate(([0], np.cumsum(m)))
@@ -82,51 +85,87 @@ def _segment_keys(sets: list[np.ndarray], band: np.ndarray, bands: Bands) -> tup
     owner = np.repeat(np.arange(len(sets)), m)
     number = np.arange(total) - first[owner]
     place = mix(number.astype(np.uint64) * np.uint64(0x632BE5AB) + salt[owner])
-    empty = count == 0
-    # shares: 1 for a filled segment, 2 for a deletion segment of two elements or more, 0 for an empty one
-    doubled = (number < d[owner]) & (count >= 2)
-    lacking = np.bincount(owner, empty.astype(np.int64) - doubled, len(sets)).astype(np.int64)
-    seen = np.cumsum(empty)
-    before = np.concatenate(([0], seen))[first[:-1]]
-    kind = np.where(empty, np.where(seen - before[owner] <= lacking[owner], EMPTY_PROBE, EMPTY_INDEX), FULL)
+    rare = np.bincount(at, ~_is_hot(h, hot), total).astype(np.int64)
+    # shares: 1 for a segment, 2 for a deletion segment of two rare elements or more, 0 for a dear one that is left out
+    doubled = (number < d[owner]) & (rare >= 2)
+    spare = np.bincount(owner, doubled, len(sets)).astype(np.int64)
+    kind = np.full(total, FULL)
+    for dear in (count == 0, (count > 0) & (rare == 0)):  # the dearest first
+        seen = np.cumsum(dear)
+        nth = seen - np.concatenate(([0], seen))[first[:-1]][owner]
+        out = dear & (nth <= spare[owner])
+        kind[out] = INDEX
+        spare -= np.bincount(owner, out, len(sets)).astype(np.int64)
     cut = np.nonzero(doubled[at])[0]
     less = mix(sums[at[cut]] - part[cut] + place[at[cut]])
     return (
         np.concatenate((owner, of[cut])),
         np.concatenate((mix(sums + place), less)),
         np.concatenate((kind, np.full(len(cut), DELETED))),
+        np.concatenate((number, seg[cut])),
     )
 
 
-def _entries(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the set, key, kind) of all entries of under 65,536 sets, for their own band and for the one below."""
+def _is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = h % np.uint64(HOT_BITS)
+    return (hot[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _frequent(sets: list[np.ndarray], least: int) -> tuple[bytes, bytes]:
+    """Shingles of at least so many of the sets, and in how many they are."""
+    h, many = np.unique(np.concatenate(sets), return_counts=True)
+    keep = many >= least
+    return h[keep].tobytes(), many[keep].astype("<i4").tobytes()
+
+
+def _entries(sets: list[np.ndarray], bands: Bands, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the set, key, kind, band, segment) of all entries of under 65,536 sets, for their own band and for the one below."""
     n = np.array([len(s) for s in sets], np.int64)
     own = bands.of(n)
     below = [i for i in range(len(sets)) if own[i] > 0 and bands.num * n[i] <= bands.den * bands.hi[own[i] - 1]]
     which = np.concatenate((np.arange(len(sets)), np.array(below, np.int64)))
     band = np.concatenate((own, own[below] - 1 if below else np.empty(0, np.int64)))
-    at, key, kind = _segment_keys([sets[i] for i in which], band, bands)
-    return which[at].astype(np.uint16), key, kind
+    at, key, kind, segment = _segment_keys([sets[i] for i in which], band, bands, hot)
+    return which[at].astype(np.uint16), key, kind, band[at], segment
+
+
+class Buckets:
+    """A band's keys lie in one bucket or more, each a range of segments, by how many shingles the band's documents have.
+
+    Documents that share several keys so mostly share them in one bucket.
+    """
+
+    def __init__(self, bands: Bands, shingles: dict[int, int]):
+        many = np.zeros(len(bands.hi) + 1)
+        for b, n in shingles.items():
+            many[b] += n
+        keyed = many[:-1] + many[1:]
+        self.parts = np.maximum(1, np.ceil(keyed / (2 * BUCKET_KEYS))).astype(np.int64)
+        self.parts = np.where(keyed > 0, np.minimum(self.parts, bands.m), 0)
+        self.first = np.cumsum(self.parts) - self.parts
+        self.m, self.total = bands.m, max(1, int(self.parts.sum()))
 
+    def of(self, band: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        return self.first[band] + segment * self.parts[band] // self.m[band]
 
-def _pack(docs: np.ndarray, at: np.ndarray, key: np.ndarray, kind: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+
+def _pack(docs: np.ndarray, at: np.ndarray, key: np.ndarray, kind: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """One row for each bucket: documents, how many keys each has, and the keys in six bytes (46 bits and the kind)."""
-    bucket = ((key & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
     order = np.argsort(at, kind="stable")
-    order = order[np.argsort(bucket[order], kind="stable")]
-    bucket, doc = bucket[order], docs[at[order]]
+    names, bucket = np.unique(bucket[order], return_inverse=True)
+    again = np.argsort(bucket.astype(np.uint16) if len(names) < 1 << 16 else bucket, kind="stable")
+    order, bucket = order[again], bucket[again]
+    doc = docs[at[order]]
     six = ((key[order] >> np.uint64(18)) << np.uint64(2)) | kind[order].astype(np.uint64)
     six = six.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        i, j = edges[b], edges[b + 1]
-        if i < j:
-            starts = np.concatenate(([0], np.nonzero(np.diff(doc[i:j]))[0] + 1))
-            yield b, doc[i:j][starts].tobytes(), np.diff(np.append(starts, j - i)).astype("<u4").tobytes(), six[i:j].tobytes()
+    edges = np.searchsorted(bucket, np.arange(len(names) + 1))
+    for b, i, j in zip(names.tolist(), edges[:-1], edges[1:], strict=True):
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(doc[i:j])) + 1))
+        yield b, doc[i:j][starts].tobytes(), np.diff(np.append(starts, j - i)).astype("<u4").tobytes(), six[i:j].tobytes()
 
 
-def _bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Stars (kind 0: hub, document) and members (kind 1: group, document) of a bucket's key groups."""
+def _bucket_stars(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Stars of a bucket's key groups: the smallest document that probes the key, and each other one that has it."""
     docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, "<u4")) for d, c in zip(pdf["docs"], pdf["counts"], strict=True)])
     raw = np.frombuffer(b"".join(pdf["keys"]), np.uint8).reshape(-1, 6)
     key = np.zeros((len(raw), 8), np.uint8)
@@ -134,33 +173,20 @@ def _bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     key = key.view("<u8").ravel()
     order = np.argsort(key >> np.uint64(2))
     key, docs = key[order], docs[order]
-    core = np.isin((key & np.uint64(3)).astype(np.int8), (FULL, EMPTY_PROBE))
+    core = (key & np.uint64(3)) == FULL
     key >>= np.uint64(2)
-    starts = np.concatenate(([0], np.nonzero(np.diff(key))[0] + 1)) if len(key) else np.empty(0, np.int64)
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1)) if len(key) else np.empty(0, np.int64)
     size = np.diff(np.append(starts, len(key)))
-    cores = np.add.reduceat(core.astype(np.int64), starts) if len(starts) else size
-    keep = (size > 1) & (cores > 0)
+    keep = (size > 1) & (np.add.reduceat(core.astype(np.int64), starts) > 0) if len(starts) else size > 1
     inside = np.repeat(keep, size)
     docs, core, size = docs[inside], core[inside], size[keep]
-    none = np.empty(0, np.int64)
-    a, b, kind, is_core = none, none, none, np.empty(0, bool)
-    if len(size):
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        hub = np.repeat(np.minimum.reduceat(np.where(core, docs, _NONE), starts), size)
-        far = hub != docs
-        star = np.unique(np.stack((hub[far], docs[far])), axis=1)
-        # groups of the same members are one group, here and in other buckets
-        group = np.add.reduceat(mix(docs.astype(np.uint64) * np.uint64(2) + core), starts)
-        _, one = np.unique(group, return_index=True)
-        chosen = np.zeros(len(size), bool)
-        chosen[one] = True
-        chosen &= size > 2
-        inside = np.repeat(chosen, size)
-        a = np.concatenate((star[0], np.repeat(group, size)[inside].view(np.int64)))
-        b = np.concatenate((star[1], docs[inside]))
-        kind = np.concatenate((np.zeros(star.shape[1], np.int64), np.ones(int(inside.sum()), np.int64)))
-        is_core = np.concatenate((np.ones(star.shape[1], bool), core[inside]))
-    return pd.DataFrame({"kind": kind, "a": a, "b": b, "core": is_core})
+    if not len(size):
+        return pd.DataFrame({"hub": [], "doc": [], "core": []}).astype({"hub": "int64", "doc": "int64", "core": "bool"})
+    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+    hub = np.repeat(np.minimum.reduceat(np.where(core, docs, _NONE), starts), size)
+    far = hub != docs
+    star = np.unique(np.stack((hub[far], docs[far], core[far])), axis=1)
+    return pd.DataFrame({"hub": star[0], "doc": star[1], "core": star[2].astype(bool)})
 
 
 def _block_pairs(bands: Bands):
@@ -215,31 +241,61 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first: dict[bytes, int] = {}
+        held, size = [], 0
         for pdf in batches:
             out = []
             for doc, s in zip(pdf["doc"].astype(object), shingle_sets(pdf["text"], words), strict=True):
                 if pd.isna(doc) or not len(s):
-                    out.append((None if pd.isna(doc) else int(doc), len(s), None, None, None))
+                    out.append((None if pd.isna(doc) else int(doc), len(s), None, None, None, None))
                     continue
                 sig = set_digest(s)
                 if len(first) > 2_000_000:
                     first.clear()
                 one = first.setdefault(sig, int(doc))
-                out.append((int(doc), len(s), sig, one, parity_bits(s) if one == doc else None))
-            frame = pd.DataFrame(out, columns=["doc", "n", "sig", "first", "bits"])
-            yield frame.astype({"doc": "Int64", "n": "int64", "first": "Int64"})
+                if one == doc:
+                    held.append(s)
+                    size += len(s)
+                if size > 2_000_000:
+                    out.append((None, -1, *_frequent(held, LOCAL), None, None))
+                    held, size = [], 0
+                out.append((int(doc), len(s), sig, None, one, parity_bits(s) if one == doc else None))
+            yield frame(out)
+        if held:
+            yield frame([(None, -1, *_frequent(held, LOCAL), None, None)])
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["doc", "n", "sig", "many", "first", "bits"]).astype({"doc": "Int64", "n": "int64", "first": "Int64"})
+
+    told = scratch.save(rows.mapInPandas(describe, "doc long, n long, sig binary, many binary, first long, bits binary"), "described")
+    described = told.where("n >= 0").drop("many")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for h, many in zip(pdf["sig"], pdf["many"], strict=True):
+                yield pd.DataFrame({"h": np.frombuffer(h, np.int64), "many": np.frombuffer(many, "<i4")})
 
-    described = scratch.save(rows.mapInPandas(describe, "doc long, n long, sig binary, first long, bits binary"), "described")
-    total = described.agg(F.sum("n"), F.count("*")).first()
-    shingles, n_rows = total[0] or 0, total[1]
-    buckets = min(65536, max(12, -(-shingles // BUCKET_KEYS)))
+    frequent = told.where("n < 0").select("sig", "many").mapInPandas(counted, "h long, many int").groupBy("h").agg(F.sum("many").alias("many"))
+    frequent = frequent.where(F.col("many") >= FREQUENT).orderBy(F.desc("many"), "h").limit(HOT_MAX).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    hot = np.zeros(HOT_BITS // 8, np.uint8)
+    at = frequent % np.uint64(HOT_BITS)
+    np.bitwise_or.at(hot, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    @F.pandas_udf("int")
+    def band_of(n: pd.Series) -> pd.Series:
+        return pd.Series(bands.of(n.to_numpy()).astype(np.int32))
+
+    # a row for each band at most
+    sizes = described.groupBy(band_of("n").alias("band")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    n_rows = sum(r.rows for r in sizes)
+    buckets = Buckets(bands, {r.band: r.n for r in sizes if r.n})
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         names, sets, held = [], [], 0
 
         def flush():
-            rows = list(_pack(np.array(names, np.int64), *_entries(sets, bands), buckets))
+            at, key, kind, band, segment = _entries(sets, bands, hot)
+            rows = list(_pack(np.array(names, np.int64), at, key, kind, buckets.of(band, segment)))
             names.clear()
             sets.clear()
             return pd.DataFrame(rows, columns=["bucket", "docs", "counts", "keys"]).astype({"bucket": "int32"})
@@ -262,12 +318,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     packed = rows.where("doc is not null").mapInPandas(keyed, "bucket int, docs binary, counts binary, keys binary")
     found = scratch.save(
-        packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_bucket_groups, "kind long, a long, b long, core boolean"),
+        packed.repartition(buckets.total, "bucket").groupBy("bucket").applyInPandas(_bucket_stars, "hub long, doc long, core boolean"),
         "found",
     )
+    members = scratch.save(found.groupBy("hub", "doc").agg(F.max("core").alias("core")), "members")
+    scratch.drop("found")
+    scratch.release()
     once = described.where("doc = first and bits is not null").select("doc", "n", "bits")
-    stars = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    members = found.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("doc"), "core").distinct()
+    stars = members.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -282,9 +340,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .distinct(),
         "likely",
     )
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(members.select("doc")).distinct()
+    # stars of three documents or more may link some that the hub doesn't link with
+    several = members.groupBy("hub").agg(F.count("*").alias("k")).where("k > 1").select("hub")
+    in_groups = members.join(several, "hub", "left_semi").select("doc")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(in_groups).distinct()
     texts = scratch.save(rows.join(wanted, "doc", "left_semi"), "texts")
 
+    scratch.release()
+
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep, last, left = [], None, None
@@ -313,7 +376,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = scratch.save(connected_components(verified(likely).unionByName(same), scratch, "cc1"), "comps1")
 
     marked = scratch.save(
-        members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gid", "doc", "core", F.coalesce("component", "doc").alias("comp")),
+        members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select(F.col("hub").alias("gid"), "doc", "core", F.coalesce("component", "doc").alias("comp")),
         "marked",
     )
     mixed = (

@@ -124,7 +124,7 @@ def parity_bits(s: np.ndarray) -> bytes:
     sets differ, so a count above the allowed difference rules a pair out.
     """
     bits = 64
-    while bits < 2 * len(s):
+    while bits < len(s):
         bits *= 2
     flips = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
