@@ -95,6 +95,17 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5
 """
 
+# The tables' pages hold their text in one article element of plain blocks, with two kinds of character references.
+OP8_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(?:</article>|$)', 1), '<[^>]*$', '') AS body FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(string_split(regexp_replace(body, '</?(?:p|h1|br)[^>]*>', chr(30), 'g'), chr(30)),
+    lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a
+), c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -126,5 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op6_exact_top_k": OP6_SQL,
+    "op8_html_extraction": OP8_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
 }
