@@ -116,3 +116,28 @@ def salvage_names(raw: DataFrame, id_col: str, text: str, cap: int = 28) -> Data
     first = rows.groupBy(id_col, F.lower("name").alias("_k")).agg(F.min(F.struct("at", "name")).alias("m"))
     order = Window.partitionBy(id_col).orderBy("m.at")
     return first.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= cap).select(id_col, "pos", F.col("m.name").alias("name"))
+
+
+def inventory_text(hits: DataFrame, by: list[str], rank: str = "rank", chars: int = 6500) -> DataFrame:
+    """``(by, text)``: the hits' texts by rank on one line, cut; what a component list is extracted from."""
+    grouped = hits.select(*by, F.struct(F.col(rank).alias("r"), F.col("text").alias("t")).alias("x")).groupBy(*by).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return grouped.select(*by, F.substring(F.array_join(F.transform("xs", lambda x: x["t"]), " "), 1, chars).alias("text"))
+
+
+def shown_sections(sections: Column, shown: int = 10) -> Column:
+    """A diff's first sections as one text, and how many more there are."""
+    pages = lambda s: F.when(F.size(s["pages"]) == 2, F.concat(F.lit(" "), F.when(s["pages"][0] == s["pages"][1], F.concat(F.lit("p."), s["pages"][0].cast("string"))).otherwise(F.concat(F.lit("pp."), s["pages"][0].cast("string"), F.lit("–"), s["pages"][1].cast("string"))))).otherwise("")
+    counts = lambda s: F.concat_ws(" ", F.when(s["added"] > 0, F.concat(F.lit("+"), s["added"].cast("string"))), F.when(s["removed"] > 0, F.concat(F.lit("−"), s["removed"].cast("string"))))
+    line = lambda s: F.concat(counts(s), F.lit(" "), F.coalesce(s["section"], F.lit("(unsectioned)")), pages(s))
+    more = F.size(sections) - shown
+    tail = F.when(more > 0, F.concat(F.lit("…and "), more.cast("string"), F.lit(" more section"), F.when(more == 1, "").otherwise("s")))
+    return F.concat_ws("\n", F.array_join(F.transform(F.slice(sections, 1, shown), line), "\n"), tail)
+
+
+def export_session(turns: DataFrame, by: str = "conv_id", order: str = "turn") -> DataFrame:
+    """``(by, markdown)``: questions as quotes and answers, numbered, of each conversation."""
+    n = lambda role: F.count(F.when(F.col("role") == role, 1)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).cast("string")
+    quoted = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
+    block = F.when(F.col("role") == "user", F.concat(F.lit("---\n\n## Q"), n("user"), F.lit("\n\n"), quoted, F.lit("\n"))).otherwise(F.concat(F.lit("### A"), n("assistant"), F.lit("\n\n"), strip(F.col("text")), F.lit("\n")))
+    rows = turns.where("role in ('user', 'assistant')").select(by, F.struct(F.col(order).alias("o"), block.alias("b")).alias("x"))
+    return rows.groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("xs")).select(by, F.array_join(F.transform("xs", lambda x: x["b"]), "\n").alias("markdown"))
