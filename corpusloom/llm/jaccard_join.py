@@ -379,17 +379,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select(F.col("hub").alias("gid"), "doc", "core", F.coalesce("component", "doc").alias("comp")),
         "marked",
     )
+    # a star's largest component is compared with the rest of the star only, the rest with itself as well
     mixed = (
-        marked.groupBy("gid")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"))
-        .where("lo < hi")
-        .select("gid", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+        marked.groupBy("gid", "comp")
+        .agg(F.count("*").alias("k"))
+        .groupBy("gid")
+        .agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("g"), F.count("*").alias("comps"))
+        .where("comps > 1")
+        .select("gid", F.col("most.comp").alias("main"), F.ceil(F.col("most.k") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("g") - F.col("most.k")) / BLOCK).cast("int").alias("outer"))
     )
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("comp") == F.col("main"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
     open_groups = (
         marked.join(mixed, "gid")
-        .withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        .withColumn("first", F.when(F.col("comp") == F.col("main"), F.col("inner")).otherwise(F.lit(0)))
+        .withColumn("blk", own + F.when(F.col("comp") == F.col("main"), F.lit(0)).otherwise(F.col("inner")))
         .join(once, "doc")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.explode(F.sequence("first", F.col("inner") + F.col("outer") - 1)))
         .withColumn("i", F.least("blk", "other"))
         .withColumn("j", F.greatest("blk", "other"))
         .select("gid", "i", "j", "doc", "core", "comp", "n", "bits", "blk")

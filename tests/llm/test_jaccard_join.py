@@ -52,7 +52,7 @@ def corpus(seed, n=120):
         for _ in range(r.choice([1, 1, 2, 5])):
             t = list(base)
             for _ in range(r.choice([0, 0, 1, 2, 6])):
-                i = r.randrange(len(t))
+                i = r.randrange(len(t) or 1)
                 t[i : i + r.randrange(2)] = [word()] if r.random() < 0.7 else []
             rows.append((k, r.choice([" ", "  ", "\n"]).join(t)))
             k += 1
@@ -66,6 +66,12 @@ def test_against_all_pairs(spark, seed):
     assert got(spark, rows) == brute(rows)
 
 
+def test_stars_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK", 3)
+    rows = corpus(5, 150)
+    assert got(spark, rows) == brute(rows)
+
+
 def test_other_threshold(spark):
     rows = corpus(9, 80)
     assert got(spark, rows, num=1, den=2, words=2) == brute(rows, 1, 2, 2)
