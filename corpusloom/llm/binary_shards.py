@@ -29,6 +29,8 @@ from corpusloom.llm.shingles import mix
 from corpusloom.llm.tokens import byte_bpe
 
 _HEAD = struct.Struct("<qi")
+#: Ids of a block, which is compressed as one, and whose part for each shard is.
+BLOCK_IDS = 4_000_000
 
 
 def feistel_slots(numbers: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -71,7 +73,7 @@ def write_shards(
     length: int = 256,
     key: int = 20_240_601,
     end_id: int = 2,
-    per_shard: int = 65_536,
+    per_shard: int = 16_384,
     width: int = 2,
 ) -> DataFrame:
     """Writes the shards below ``path`` and returns ``(doc_id, piece, n_ids, ids_crc32, slot, shard, offset)``, a row for each sequence.
@@ -94,7 +96,7 @@ def write_shards(
 
         def block() -> tuple:
             nonlocal first, held
-            row = (part, first, len(doc), np.array(doc, "<i8").tobytes(), bytes(known), np.array(piece, "<i4").tobytes(), np.array(size, "<i4").tobytes(), pack.compress(np.concatenate(ids).astype(f"<u{width}").tobytes()))
+            row = (part, first, len(doc), np.array(doc, "<i8").tobytes(), bytes(known), np.array(piece, "<i4").tobytes(), np.array(size, "<i4").tobytes(), pack.compress(np.concatenate(ids).tobytes()))
             first += len(doc)
             held = 0
             for x in (doc, known, piece, size, ids):
@@ -103,22 +105,19 @@ def write_shards(
 
         names = ["part", "first", "n", "doc", "known", "piece", "size", "ids"]
         for pdf in batches:
-            out = []
             for d, text in zip(pdf["doc_id"].astype(object), pdf["text"], strict=True):
                 got = np.append(bpe.encode(text), np.uint32(end_id))
                 if width == 2 and int(got.max()) > 0xFFFF:
                     raise ValueError("ids need four bytes: pass width=4")
-                ids.append(got)
+                ids.append(got.astype(f"<u{width}"))
                 for k, s in enumerate(range(0, len(got), length)):
                     doc.append(0 if pd.isna(d) else int(d))
                     known.append(not pd.isna(d))
                     piece.append(k)
                     size.append(min(length, len(got) - s))
                 held += len(got)
-                if held > 1_000_000:
-                    out.append(block())
-            if out:
-                yield pd.DataFrame(out, columns=names)
+                if held > BLOCK_IDS:
+                    yield pd.DataFrame([block()], columns=names)
         if doc:
             yield pd.DataFrame([block()], columns=names)
 
