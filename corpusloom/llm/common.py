@@ -3,17 +3,39 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 
 
+def _give_memory_back() -> None:
+    """In a Python worker, lets freed arrays go back to the system at once.
+
+    Workers are reused, and by default the C library and Arrow keep what large arrays have freed.
+    """
+    spec = getattr(sys.modules.get("__main__"), "__spec__", None)
+    if spec is None or not spec.name.startswith("pyspark."):
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: larger blocks are mapped on their own
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+
+
+_give_memory_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name, read through Spark so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,9 +26,7 @@ class ByteBpe:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._fast = None
@@ -53,6 +51,12 @@ class ByteBpe:
             ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
             self._fast = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
+    @functools.cached_property
+    def _whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
