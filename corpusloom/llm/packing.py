@@ -131,8 +131,8 @@ def pack_documents(
             yield part
 
     packed = rows.mapInPandas(local, _BIN)
-    nodes, level = packed.rdd.getNumPartitions(), 0
-    current = scratch.save(packed, "level0")
+    current, level = scratch.save(packed, "level0"), 0
+    nodes = (current.agg(F.max("node")).first()[0] or 0) + 1
     finals = [current.where("done")]
     while nodes > 1:
         level += 1
