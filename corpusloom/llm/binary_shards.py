@@ -13,6 +13,7 @@ writer, which puts raw bytes and that end mark, so that they reach any store Spa
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -75,11 +76,12 @@ def write_shards(
     end_id: int = 2,
     per_shard: int = 16_384,
     width: int = 2,
+    waves: int = 4,
 ) -> DataFrame:
     """Writes the shards below ``path`` and returns ``(doc_id, piece, n_ids, ids_crc32, slot, shard, offset)``, a row for each sequence.
 
     A document's ids, with ``end_id`` after them, are cut into sequences of ``length``; the last may be shorter. ``path`` gets one
-    folder ``shard=N`` for each shard, with one file in it. The permutation depends on ``key`` and the number of sequences alone.
+    folder ``shard=N`` for each shard, with one file in it, in so many ``waves``. The permutation depends on ``key`` and the number of sequences alone.
 
     A null or empty text is one sequence with ``end_id`` alone. Null ids stay null; repeated rows are written as often as they
     occur. An empty table writes nothing and gives no rows. Other columns are ignored.
@@ -130,8 +132,8 @@ def write_shards(
         total += counts[part]
     shards = max(1, -(-total // per_shard))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The sequences of a block for each shard, with their slots."""
+    def route(batches: Iterator[pd.DataFrame], low: int, high: int) -> Iterator[pd.DataFrame]:
+        """The sequences of a block for each shard of a wave, with their slots."""
         pack, unpack = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
         for pdf in batches:
             for r in pdf.itertuples(index=False):
@@ -139,15 +141,15 @@ def write_shards(
                 ids = np.frombuffer(unpack.decompress(r.ids), f"<u{width}")
                 slot = feistel_slots(np.arange(r.n) + before[r.part] + r.first, total, key)
                 start = np.cumsum(size) - size
-                doc, known, piece = np.frombuffer(r.doc, "<i8"), np.frombuffer(r.known, np.uint8), np.frombuffer(r.piece, "<i4")
                 order = np.argsort(slot)
+                order = order[(slot[order] >= low * per_shard) & (slot[order] < high * per_shard)]
                 shard = slot[order] // per_shard
                 out = []
                 for s in np.unique(shard):
                     at = order[shard == s]
                     row = np.repeat(start[at] - (np.cumsum(size[at]) - size[at]), size[at]) + np.arange(int(size[at].sum()))
-                    out.append((int(s), len(at), slot[at].tobytes(), doc[at].tobytes(), known[at].tobytes(), piece[at].tobytes(), size[at].astype("<i4").tobytes(), pack.compress(ids[row].tobytes())))
-                yield pd.DataFrame(out, columns=["shard", "n", "slot", "doc", "known", "piece", "size", "ids"])
+                    out.append((int(s), len(at), slot[at].tobytes(), size[at].astype("<i4").tobytes(), pack.compress(ids[row].tobytes())))
+                yield pd.DataFrame(out, columns=["shard", "n", "slot", "size", "ids"])
 
     def lay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """A shard's records in slot order."""
@@ -168,9 +170,16 @@ def write_shards(
         whole[:, :-1] = rows
         return pd.DataFrame({"shard": [int(key[0])], "records": [whole.tobytes()[:-1]]})
 
-    routed = blocks.mapInPandas(route, "shard long, n int, slot binary, doc binary, known binary, piece binary, size binary, ids binary")
-    records = routed.repartition(shards, "shard").groupBy("shard").applyInPandas(lay, "shard long, records binary")
-    records.select("shard", F.col("records").cast("string").alias("records")).write.mode("overwrite").partitionBy("shard").option("lineSep", "\n").text(path)
+    # in waves, so that only a part of the ids is in shuffle files at a time, and a wave that is written stays so
+    sent = blocks.select("part", "first", "n", "size", "ids")
+    for wave in range(waves):
+        low, high = shards * wave // waves, shards * (wave + 1) // waves
+        if low < high or wave == 0:
+            routed = sent.mapInPandas(functools.partial(route, low=low, high=high), "shard long, n int, slot binary, size binary, ids binary")
+            records = routed.repartition(max(1, high - low), "shard").groupBy("shard").applyInPandas(lay, "shard long, records binary")
+            out = records.select("shard", F.col("records").cast("string").alias("records")).write.mode("append" if wave else "overwrite")
+            out.partitionBy("shard").option("lineSep", "\n").text(path)
+            scratch.release()
     written = read_shards(spark, path, length, width)
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
