@@ -5,19 +5,21 @@ by best fit, largest first. Nearly full bins are final. Underfull bins go up a t
 merges so many partitions at each step: a node takes them as items of another best-fit
 round, takes apart the bins that are still underfull and packs their pieces anew, and
 keeps whichever of the two needs fewer bins. What counts as nearly full is relaxed at each
-step; the root emits all. A node sends up at most ``residual`` bins, the emptiest; the
-fuller ones are emitted as they are, so that memory is bounded and no piece is lost.
+step; the root emits all. All underfull bins go up. So that memory is bounded, a node of more than ``fan_in`` times
+``residual`` bins is split into several, to which the bins of each fill are dealt in turn, so that each
+sees the same mix. A root that is split is repeated with what stays underfull, until one node holds it, or until a round takes away under a tenth of the
+bins: equal mixes then hold hardly any bins that fit together, and the emptiest of all meet in a last node.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch
@@ -66,16 +68,6 @@ def _fill(b: list[tuple]) -> int:
     return sum(p[4] for p in b)
 
 
-def _settle(bins: list[list[tuple]], enough: int, residual: int) -> list[bool]:
-    """Which bins are final: nearly full ones, and the fuller ones beyond ``residual``."""
-    fills = [_fill(b) for b in bins]
-    rest = sorted((f, i) for i, f in enumerate(fills) if f < enough)
-    done = [True] * len(bins)
-    for _, i in rest[:residual]:
-        done[i] = False
-    return done
-
-
 def _repack(bins: list[list[tuple]], capacity: int, enough: int) -> list[list[tuple]]:
     """One node: bins as items, then the pieces of those still underfull as items, if that needs fewer."""
     merged = [[p for i in group for p in bins[i]] for group in best_fit([_fill(b) for b in bins], capacity)]
@@ -85,6 +77,21 @@ def _repack(bins: list[list[tuple]], capacity: int, enough: int) -> list[list[tu
     return kept + anew if len(kept) + len(anew) <= len(merged) else merged
 
 
+def _merger(capacity: int, enough: int, level: int, stride: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Merges the bins of one node, or of one part of a node. Ids of a node's parts lie ``stride`` apart."""
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sequence_id")
+        bins = [list(zip(*r, strict=True)) for r in zip(pdf["doc_id"], pdf["known"], pdf["piece"], pdf["start"], pdf["length"], pdf["crc"], strict=True)]
+        bins = [[(int(d), bool(x), int(k), int(s), int(n), int(c)) for d, x, k, s, n, c in b] for b in bins]
+        bins = _repack(bins, capacity, enough)
+        out = _rows(bins, int(key[0]), level, [last or _fill(b) >= enough for b in bins])
+        out["sequence_id"] += int(key[1]) * stride
+        return out
+
+    return merge
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -124,7 +131,7 @@ def pack_documents(
                     p = (0 if pd.isna(doc) else int(doc), not pd.isna(doc), k, start, length, zlib.crc32(ids[start : start + length]))
                     (full if length == capacity else items).append(p)
         bins = [[p] for p in full] + [[items[i] for i in b] for b in best_fit([p[4] for p in items], capacity)]
-        done = _settle(bins, enough(0), residual)
+        done = [_fill(b) >= enough(0) for b in bins]
         for at in range(0, len(bins), 20_000):
             part = _rows(bins[at : at + 20_000], node, 0, done[at : at + 20_000])
             part["sequence_id"] += at
@@ -134,21 +141,36 @@ def pack_documents(
     current, level = scratch.save(packed, "level0"), 0
     nodes = (current.agg(F.max("node")).first()[0] or 0) + 1
     finals = [current.where("done")]
-    while nodes > 1:
+    limit, root, held = fan_in * residual, 0, 0
+    while nodes > 1 or root:
         level += 1
         nodes = -(-nodes // fan_in)
-        last = nodes == 1
-
-        def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("sequence_id")
-            bins = [list(zip(*r, strict=True)) for r in zip(pdf["doc_id"], pdf["known"], pdf["piece"], pdf["start"], pdf["length"], pdf["crc"], strict=True)]
-            bins = [[(int(d), bool(x), int(k), int(s), int(n), int(c)) for d, x, k, s, n, c in b] for b in bins]
-            bins = _repack(bins, capacity, enough(level))
-            return _rows(bins, int(key[0]), level, [True] * len(bins) if last else _settle(bins, enough(level), residual))
-
         up = current.where("not done").withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
-        current = scratch.save(up.groupBy("node").applyInPandas(merge, _BIN), f"level{level}")
+        counts = {r["node"]: r["count"] for r in up.groupBy("node").count().collect()}
+        bins_up = sum(counts.values())
+        if root and 10 * bins_up > 9 * held:
+            fill = F.expr("aggregate(length, 0L, (a, x) -> a + x)")
+            chosen = scratch.save(up.select("sequence_id", fill.alias("fill")).orderBy("fill", "sequence_id").limit(limit).select("sequence_id"), "emptiest")
+            finals.append(up.join(chosen, "sequence_id", "left_anti"))
+            merge = _merger(capacity, enough(root), level, limit, True)
+            left = up.join(chosen, "sequence_id", "left_semi").withColumn("part", F.lit(0).cast("long"))
+            finals.append(scratch.save(left.groupBy("node", "part").applyInPandas(merge, _BIN), f"level{level}"))
+            break
+        split = {n: -(-k // limit) for n, k in counts.items() if k > limit}
+        if nodes == 1 and split:
+            root, held = root or level, bins_up
+        last = nodes == 1 and not split
+        up = up.withColumn("part", F.lit(0).cast("long"))
+        if split:
+            parts = F.coalesce(F.create_map(*(F.lit(x).cast("long") for pair in split.items() for x in pair))[F.col("node")], F.lit(1).cast("long"))
+            up = up.withColumn("fill", F.expr("aggregate(length, 0L, (a, x) -> a + x)"))
+            turn = F.row_number().over(Window.partitionBy("node", "fill").orderBy("sequence_id"))
+            up = up.withColumn("part", F.pmod(turn + 7919 * F.col("fill"), parts)).drop("fill")
+        merge = _merger(capacity, enough(root or level), level, limit + capacity + 1, last)
+        current = scratch.save(up.groupBy("node", "part").applyInPandas(merge, _BIN), f"level{level}")
         finals.append(current.where("done"))
+        if last:
+            break
     if level == 0:
         finals = [current]
     everything = finals[0]
