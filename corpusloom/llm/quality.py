@@ -37,7 +37,7 @@ class _Shapes(dict):
         if len(self) > 300_000:
             self.clear()
         shape, last = [], ""
-        for ch in word[:64]:
+        for ch in word:
             kind = "X" if ch.isupper() else "x" if ch.isalpha() else "9" if ch.isdigit() else ch
             if kind != last:
                 shape.append(kind)
@@ -50,7 +50,8 @@ class _Shapes(dict):
         known |= BANG if word.endswith("!!") else 0
         known |= STOP if word[-1] in ".!?" else 0
         known |= LETTERS if 2 * letters >= len(word) else 0
-        self[word] = known
+        if len(word) <= 64:  # longer words hardly ever recur
+            self[word] = known
         return known
 
 
