@@ -33,11 +33,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows without an id are kept, repeated rows of an id become one."""
-    groups = jaccard_components(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__corpusloom_id")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(first, F.col("doc_id") == F.col("__corpusloom_id"), "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    """Keeps the document with the smallest id of each group; rows without an id are kept, repeated rows of an id and text become one.
+
+    Different texts of one id are documents of their own, each judged by its own group.
+    """
+    node, told = "__corpusloom_id", F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit(""))
+    named = docs.where("doc_id is not null")
+    texts = named.groupBy("doc_id").agg(F.min(F.xxhash64(told)).alias("low"), F.max(F.xxhash64(told)).alias("high"))
+    if texts.where("low <> high").isEmpty():
+        named = named.dropDuplicates(["doc_id"]).withColumn(node, F.col("doc_id"))
+        groups = jaccard_components(docs)
+    else:
+        # numbers in the order of the ids, one for each text of an id
+        digest = "__corpusloom_digest"
+        pairs = named.select("doc_id", F.sha2(told, 256).alias(digest)).distinct().orderBy("doc_id", digest).withColumn(node, F.monotonically_increasing_id())
+        pairs = Scratch(spark, "texts").save(pairs, "pairs")
+        named = named.withColumn(digest, F.sha2(told, 256)).dropDuplicates(["doc_id", digest]).join(pairs, ["doc_id", digest]).select(*docs.columns, node)
+        groups = jaccard_components(named, id_col=node)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(node)).distinct()
+    return named.join(first, node, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
