@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import itertools
 import shutil
 import sys
 import tempfile
@@ -100,13 +101,13 @@ def spread(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(least, -(-rows // per_task))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
 
     Alternating large-star and small-star steps over DataFrames. The edge table
     never grows beyond its start, each step is two aggregations by minimum (which
     combine before the shuffle) and an equi-join that AQE can split, and
-    each round is written to the shared folder. Null ends and self links are ignored.
+    each round is written to the shared folder. Rounds go on until the table no longer changes. Null ends and self links are ignored.
     """
     cur = scratch.save(
         edges.where("a is not null and b is not null and a <> b")
@@ -120,7 +121,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc",
         return r[0], r[1]
 
     before = mark(cur)
-    for i in range(1, max_rounds + 1):
+    for i in itertools.count(1):
         if not before[0]:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -141,7 +142,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc",
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

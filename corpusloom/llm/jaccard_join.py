@@ -14,12 +14,17 @@ shingles are counted over all documents and kept as a bitmap of fixed size. A do
 share as long as its deletion segments make up for them (sum of shares >= H + 1); the other documents still find
 them, as they stay in the index. A key that is in the index alone, probed by none, links nobody.
 
-Keys meet in buckets as packed arrays, not rows. A bucket emits each key group's star
-(the smallest document that probes it to the others). Stars are pruned by parity bitmaps, verified exactly,
-and joined into components. The stars of one hub, which hold all documents that share a key with it,
-are then compared with each other in blocks where they still lie in several components, with the bitmaps as exact lower bounds
-of the difference, and what is left is verified exactly too: no link between different components is lost, and no
-group is expanded into all its pairs.
+Keys meet in buckets as packed arrays, not rows. A bucket is a range of a band's segments, and of their keys where a segment has too many.
+It emits each distinct key group once, packed. A group's star (the smallest document that probes its key, with each other one) is pruned
+by parity bitmaps, verified exactly, and joined into components. What a group may still hold are links of its other probing
+documents with members of other components. Groups that hold several components are compared in cells (a block of probing documents with a block
+of members, most groups being one cell), with the bitmaps as exact lower bounds of the difference, and what is left is verified. A cell with
+plenty of such pairs first gives the closest of any two components, which merges nearly all that belong together, and after that every pair
+that still lies in two. No link between different components is lost, members of one component are never compared, and no group is
+expanded into all its pairs.
+
+Which copy of a text names its keys depends on the order of rows, which may change between evaluations; so every row's
+size and bitmaps are kept, and copies are linked with each other by the digest of their sets alone.
 """
 
 from __future__ import annotations
@@ -35,8 +40,10 @@ from corpusloom.llm.common import Scratch, connected_components, spread
 from corpusloom.llm.shingles import differences_at_least, folded, mix, overlap, parity_bits, set_digest, shingle_set, shingle_sets
 
 FULL, DELETED, INDEX = 0, 1, 2
-#: Shingles whose keys fill a bucket, members of a block, shingles whose keys a task holds at once.
-BUCKET_KEYS, BLOCK, FLUSH = 1_500_000, 512, 300_000
+#: Shingles whose keys fill a bucket, members of a block, shingles whose keys a task holds at once, entries of a row of groups.
+BUCKET_KEYS, BLOCK, FLUSH, GROUPED = 1_500_000, 512, 300_000, 200_000
+#: Bytes at most of the bitmap that cells compare, which is folded to half its size; pairs for each member of a cell beyond which the closest come first.
+SKETCH, PLENTY = 1024, 16
 #: A frequent shingle is in so many documents of a task and in so many of all; bits of its bitmap, and shingles in it at most.
 LOCAL, FREQUENT, HOT_BITS, HOT_MAX = 3, 24, 1 << 23, 500_000
 _NONE = np.iinfo(np.int64).max
@@ -132,7 +139,8 @@ def _entries(sets: list[np.ndarray], bands: Bands, hot: np.ndarray) -> tuple[np.
 class Buckets:
     """A band's keys lie in one bucket or more, each a range of segments, by how many shingles the band's documents have.
 
-    Documents that share several keys so mostly share them in one bucket.
+    Documents that share several keys so mostly share them in one bucket. Where a band needs more buckets than it has segments,
+    a segment's keys are dealt to several by their hash.
     """
 
     def __init__(self, bands: Bands, shingles: dict[int, int]):
@@ -140,13 +148,17 @@ class Buckets:
         for b, n in shingles.items():
             many[b] += n
         keyed = many[:-1] + many[1:]
-        self.parts = np.maximum(1, np.ceil(keyed / (2 * BUCKET_KEYS))).astype(np.int64)
-        self.parts = np.where(keyed > 0, np.minimum(self.parts, bands.m), 0)
-        self.first = np.cumsum(self.parts) - self.parts
-        self.m, self.total = bands.m, max(1, int(self.parts.sum()))
+        needed = np.where(keyed > 0, np.maximum(1, np.ceil(keyed / (2 * BUCKET_KEYS))), 0).astype(np.int64)
+        self.ranges = np.minimum(needed, bands.m)
+        self.deals = -(-needed // bands.m)
+        parts = self.ranges * self.deals
+        self.first = np.cumsum(parts) - parts
+        self.m, self.total = bands.m, max(1, int(parts.sum()))
 
-    def of(self, band: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        return self.first[band] + segment * self.parts[band] // self.m[band]
+    def of(self, band: np.ndarray, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+        deals = self.deals[band]
+        dealt = ((key >> np.uint64(18)) % deals.astype(np.uint64)).astype(np.int64)
+        return self.first[band] + segment * self.ranges[band] // self.m[band] * deals + dealt
 
 
 def _pack(docs: np.ndarray, at: np.ndarray, key: np.ndarray, kind: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -164,8 +176,8 @@ def _pack(docs: np.ndarray, at: np.ndarray, key: np.ndarray, kind: np.ndarray, b
         yield b, doc[i:j][starts].tobytes(), np.diff(np.append(starts, j - i)).astype("<u4").tobytes(), six[i:j].tobytes()
 
 
-def _bucket_stars(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Stars of a bucket's key groups: the smallest document that probes the key, and each other one that has it."""
+def _bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's distinct key groups of two documents or more of which one probes the key: documents, who probes, sizes."""
     docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, "<u4")) for d, c in zip(pdf["docs"], pdf["counts"], strict=True)])
     raw = np.frombuffer(b"".join(pdf["keys"]), np.uint8).reshape(-1, 6)
     key = np.zeros((len(raw), 8), np.uint8)
@@ -175,47 +187,97 @@ def _bucket_stars(pdf: pd.DataFrame) -> pd.DataFrame:
     key, docs = key[order], docs[order]
     core = (key & np.uint64(3)) == FULL
     key >>= np.uint64(2)
+    names = ["first", "docs", "cores", "sizes"]
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1)) if len(key) else np.empty(0, np.int64)
     size = np.diff(np.append(starts, len(key)))
     keep = (size > 1) & (np.add.reduceat(core.astype(np.int64), starts) > 0) if len(starts) else size > 1
     inside = np.repeat(keep, size)
     docs, core, size = docs[inside], core[inside], size[keep]
     if not len(size):
-        return pd.DataFrame({"hub": [], "doc": [], "core": []}).astype({"hub": "int64", "doc": "int64", "core": "bool"})
+        return pd.DataFrame([], columns=names).astype({"first": "int64"})
+    # groups that agree in documents and in who probes are one; 128 bits tell them apart
     starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-    hub = np.repeat(np.minimum.reduceat(np.where(core, docs, _NONE), starts), size)
-    far = hub != docs
-    star = np.unique(np.stack((hub[far], docs[far], core[far])), axis=1)
-    return pd.DataFrame({"hub": star[0], "doc": star[1], "core": star[2].astype(bool)})
-
-
-def _block_pairs(bands: Bands):
-    """Pairs of a block of a group's members that lie in different components and may link, by the bitmaps."""
+    member = docs.view(np.uint64) * np.uint64(2) + core
+    one, two = (np.add.reduceat(mix(member + np.uint64(salt)), starts) for salt in (0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D))
+    order = np.lexsort((two, one))
+    fresh = np.concatenate(([True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)))
+    chosen = np.zeros(len(size), bool)
+    chosen[order[fresh]] = True
+    inside = np.repeat(chosen, size)
+    docs, core, size = docs[inside], core[inside], size[chosen]
+    number = int(pdf["bucket"].iloc[0]) << 32
+    ends = np.cumsum(size)
+    out, i = [], 0
+    while i < len(size):
+        from_ = ends[i] - size[i]
+        j = max(i + 1, int(np.searchsorted(ends, from_ + GROUPED, "right")))
+        out.append((number + i, docs[from_ : ends[j - 1]].tobytes(), core[from_ : ends[j - 1]].astype(np.uint8).tobytes(), size[i:j].astype("<i8").tobytes()))
+        i = j
+    return pd.DataFrame(out, columns=names)
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each row of packed groups: number of the first, documents, who probes, starts, sizes."""
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            size = np.frombuffer(r.sizes, "<i8")
+            yield r.first, np.frombuffer(r.docs, np.int64), np.frombuffer(r.cores, np.uint8).astype(bool), np.cumsum(size) - size, size
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each group's smallest probing document with each of its others, smaller first."""
+    for _, docs, core, starts, size in _groups(batches):
+        hub = np.repeat(np.minimum.reduceat(np.where(core, docs, _NONE), starts), size)
+        far = hub != docs
+        star = np.unique(np.stack((np.minimum(hub, docs)[far], np.maximum(hub, docs)[far])), axis=1)
+        yield pd.DataFrame({"a": star[0], "b": star[1]})
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The members of groups that hold more candidate pairs than their star."""
+    for first, docs, core, starts, size in _groups(batches):
+        more = (size > 2) & (np.add.reduceat(core.astype(np.int64), starts) > 1)
+        at = np.repeat(more, size)
+        yield pd.DataFrame({"gid": np.repeat(first + np.arange(len(size)), size)[at], "doc": docs[at], "core": core[at]})
+
+
+def _cell_pairs(bands: Bands, plenty: int | None):
+    """Pairs of a cell that lie in different components and may link, by the bitmaps.
+
+    If there are over ``plenty`` for each member, one for any two components, with ``rest`` set; without ``plenty`` always all.
+    """
 
-    def of(r) -> Iterator[tuple[int, int]]:
-        n, comp, doc, core = (np.array(x) for x in (r.n, r.comp, r.doc, r.core))
-        width = min(map(len, r.bits))
-        bits = np.stack([folded(x, width) for x in r.bits])
-        blk = np.array(r.blk)
-        left, right = np.flatnonzero(blk == r.i), np.flatnonzero(blk == r.j)
+    def of(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, comp, doc, left, right = (np.array(x) for x in (r.n, r.comp, r.doc, r.left, r.right))
+        width = min(map(len, r.sketch))
+        bits = np.stack([folded(x, width) for x in r.sketch])
+        left, right = np.flatnonzero(left), np.flatnonzero(right)
         step = max(1, (1 << 20) // (len(right) * bits.shape[1] + 1))
+        found = [np.empty((3, 0), np.int64)]
         for k in range(0, len(left), step):
             x, y = np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step]))
             most, least = np.maximum(n[x], n[y]), np.minimum(n[x], n[y])
-            ok = (comp[x] != comp[y]) & (core[x] | core[y]) & (least * bands.den >= most * bands.num)
-            if r.i == r.j:
-                ok &= x < y
+            ok = (comp[x] != comp[y]) & (least * bands.den >= most * bands.num)
             x, y = x[ok], y[ok]
             apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-            ok = apart <= bands.allowed(n[x], n[y])
-            yield from zip(np.minimum(doc[x[ok]], doc[y[ok]]).tolist(), np.maximum(doc[x[ok]], doc[y[ok]]).tolist(), strict=True)
+            spare = bands.allowed(n[x], n[y]) - apart
+            ok = spare >= 0
+            found.append(np.stack((x[ok], y[ok], -spare[ok])))
+        x, y, far = np.concatenate(found, axis=1)
+        rest = plenty is not None and len(x) > plenty * len(doc)
+        if rest:
+            low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+            order = np.lexsort((doc[y], doc[x], far, high, low))
+            first = np.concatenate(([True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)))
+            x, y = x[order[first]], y[order[first]]
+        return np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), np.full(len(x), rest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found: set[tuple[int, int]] = set()
-            for r in pdf.itertuples(index=False):
-                found.update(of(r))
-            yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+            found = [of(r) for r in pdf.itertuples(index=False)]
+            if found:
+                a, b, rest = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "rest": rest.astype(bool)}).drop_duplicates()
 
     return run
 
@@ -246,7 +308,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out = []
             for doc, s in zip(pdf["doc"].astype(object), shingle_sets(pdf["text"], words), strict=True):
                 if pd.isna(doc) or not len(s):
-                    out.append((None if pd.isna(doc) else int(doc), len(s), None, None, None, None))
+                    out.append((None if pd.isna(doc) else int(doc), len(s), None, None, None, None, None))
                     continue
                 sig = set_digest(s)
                 if len(first) > 2_000_000:
@@ -256,17 +318,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     held.append(s)
                     size += len(s)
                 if size > 2_000_000:
-                    out.append((None, -1, *_frequent(held, LOCAL), None, None))
+                    out.append((None, -1, *_frequent(held, LOCAL), None, None, None))
                     held, size = [], 0
-                out.append((int(doc), len(s), sig, None, one, parity_bits(s) if one == doc else None))
+                bits = parity_bits(s)
+                out.append((int(doc), len(s), sig, None, one, bits, folded(bits, max(8, min(len(bits) // 2, SKETCH))).tobytes()))
             yield frame(out)
         if held:
-            yield frame([(None, -1, *_frequent(held, LOCAL), None, None)])
+            yield frame([(None, -1, *_frequent(held, LOCAL), None, None, None)])
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["doc", "n", "sig", "many", "first", "bits"]).astype({"doc": "Int64", "n": "int64", "first": "Int64"})
+        return pd.DataFrame(out, columns=["doc", "n", "sig", "many", "first", "bits", "sketch"]).astype({"doc": "Int64", "n": "int64", "first": "Int64"})
 
-    told = scratch.save(rows.mapInPandas(describe, "doc long, n long, sig binary, many binary, first long, bits binary"), "described")
+    told = scratch.save(rows.mapInPandas(describe, "doc long, n long, sig binary, many binary, first long, bits binary, sketch binary"), "described")
     described = told.where("n >= 0").drop("many")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,7 +358,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         def flush():
             at, key, kind, band, segment = _entries(sets, bands, hot)
-            rows = list(_pack(np.array(names, np.int64), at, key, kind, buckets.of(band, segment)))
+            rows = list(_pack(np.array(names, np.int64), at, key, kind, buckets.of(band, segment, key)))
             names.clear()
             sets.clear()
             return pd.DataFrame(rows, columns=["bucket", "docs", "counts", "keys"]).astype({"bucket": "int32"})
@@ -318,14 +381,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     packed = rows.where("doc is not null").mapInPandas(keyed, "bucket int, docs binary, counts binary, keys binary")
     found = scratch.save(
-        packed.repartition(buckets.total, "bucket").groupBy("bucket").applyInPandas(_bucket_stars, "hub long, doc long, core boolean"),
+        packed.repartition(buckets.total, "bucket").groupBy("bucket").applyInPandas(_bucket_groups, "first long, docs binary, cores binary, sizes binary"),
         "found",
     )
-    members = scratch.save(found.groupBy("hub", "doc").agg(F.max("core").alias("core")), "members")
-    scratch.drop("found")
     scratch.release()
-    once = described.where("doc = first and bits is not null").select("doc", "n", "bits")
-    stars = members.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
+    stars = scratch.save(found.mapInPandas(_stars, "a long, b long").distinct(), "stars")
+    members = scratch.save(found.mapInPandas(_members, "gid long, doc long, core boolean"), "members")
+    scratch.drop("found")
+    linkable = stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    once = scratch.save(
+        described.where("bits is not null").join(linkable, "doc", "left_semi").groupBy("doc", "sig").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("sketch").alias("sketch"), F.count("*").alias("times")).drop("sig"),
+        "once",
+    )
+    repeated = (once.agg(F.max("times")).first()[0] or 0) > 1
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -340,11 +408,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .distinct(),
         "likely",
     )
-    # stars of three documents or more may link some that the hub doesn't link with
-    several = members.groupBy("hub").agg(F.count("*").alias("k")).where("k > 1").select("hub")
-    in_groups = members.join(several, "hub", "left_semi").select("doc")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(in_groups).distinct()
-    texts = scratch.save(rows.join(wanted, "doc", "left_semi"), "texts")
+    scratch.drop("stars")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(members.select("doc")).distinct()
+    texts = rows.join(wanted, "doc", "left_semi")
+    texts = scratch.save(texts.dropDuplicates(["doc", "text"]) if repeated else texts, "texts")
 
     scratch.release()
 
@@ -374,42 +441,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .unionByName(firsts.join(lowest, "sig").where("doc <> low").select(F.col("doc").alias("a"), F.col("low").alias("b")))
     )
     comps = scratch.save(connected_components(verified(likely).unionByName(same), scratch, "cc1"), "comps1")
+    scratch.drop("likely")
+    scratch.release()
 
-    marked = scratch.save(
-        members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select(F.col("hub").alias("gid"), "doc", "core", F.coalesce("component", "doc").alias("comp")),
-        "marked",
-    )
-    # a star's largest component is compared with the rest of the star only, the rest with itself as well
-    mixed = (
-        marked.groupBy("gid", "comp")
-        .agg(F.count("*").alias("k"))
-        .groupBy("gid")
-        .agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("g"), F.count("*").alias("comps"))
-        .where("comps > 1")
-        .select("gid", F.col("most.comp").alias("main"), F.ceil(F.col("most.k") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("g") - F.col("most.k")) / BLOCK).cast("int").alias("outer"))
-    )
-    own = F.pmod(F.xxhash64("doc"), F.when(F.col("comp") == F.col("main"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
-    open_groups = (
-        marked.join(mixed, "gid")
-        .withColumn("first", F.when(F.col("comp") == F.col("main"), F.col("inner")).otherwise(F.lit(0)))
-        .withColumn("blk", own + F.when(F.col("comp") == F.col("main"), F.lit(0)).otherwise(F.col("inner")))
-        .join(once, "doc")
-        .withColumn("other", F.explode(F.sequence("first", F.col("inner") + F.col("outer") - 1)))
-        .withColumn("i", F.least("blk", "other"))
-        .withColumn("j", F.greatest("blk", "other"))
-        .select("gid", "i", "j", "doc", "core", "comp", "n", "bits", "blk")
-    )
-    lists = [F.collect_list(c).alias(c) for c in ("doc", "core", "comp", "n", "bits", "blk")]
-    more = scratch.save(open_groups.groupBy("gid", "i", "j").agg(*lists).mapInPandas(_block_pairs(bands), "a long, b long").distinct(), "more")
-    if more.isEmpty():
-        last = comps
-    else:
-        low = comps.select(F.col("node"), F.col("component"))
-        last = scratch.save(connected_components(verified(more).unionByName(low.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "cc2"), "comps2")
+    def cells(comps: DataFrame) -> DataFrame:
+        """The groups that hold several components, each cell's documents as lists."""
+        marked = members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+        mixed = (
+            marked.groupBy("gid")
+            .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k"), F.sum(F.col("core").cast("int")).alias("probing"))
+            .where("low <> high")
+            .select("gid", F.ceil(F.col("probing") / BLOCK).cast("int").alias("down"), F.ceil(F.col("k") / BLOCK).cast("int").alias("across"))
+        )
+        cell = """explode(array_distinct(concat(
+            if(core, transform(sequence(0, across - 1), x -> struct(row as i, x as j)), array()),
+            transform(sequence(0, down - 1), x -> struct(x as i, col as j)))))"""
+        dealt = (
+            marked.join(mixed, "gid")
+            .withColumn("row", F.pmod(F.xxhash64("doc"), F.col("down")).cast("int"))
+            .withColumn("col", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("across")).cast("int"))
+            .withColumn("cell", F.expr(cell))
+            .select("gid", "cell", "doc", "comp", F.expr("core and cell.i = row").alias("left"), F.expr("cell.j = col").alias("right"))
+            .join(once.select("doc", "n", "sketch"), "doc")
+        )
+        return dealt.groupBy("gid", "cell").agg(*(F.collect_list(c).alias(c) for c in ("doc", "comp", "n", "sketch", "left", "right")))
+
+    for name, plenty in (("pairs", PLENTY), ("rest", None)):
+        met = scratch.save(cells(comps).mapInPandas(_cell_pairs(bands, plenty), "a long, b long, rest boolean"), name)
+        links = scratch.save(verified(met.select("a", "b").distinct()), f"{name}-linked")
+        if not links.isEmpty():
+            known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comps = scratch.save(connected_components(links.unionByName(known), scratch, f"cc-{name}"), f"comps-{name}")
+        if met.where("rest").isEmpty():
+            break
+    for name in ("members", "once", "texts"):
+        scratch.drop(name)
     n_parts = spread(spark, n_rows, 2_000_000)
     return (
         described.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
         .repartition(n_parts, "doc_id")
-        .join(last.select(F.col("node").alias("doc_id"), F.col("component").alias("linked")), "doc_id", "left")
+        .join(comps.select(F.col("node").alias("doc_id"), F.col("component").alias("linked")), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("linked", "doc_id").alias("component_id"))
     )

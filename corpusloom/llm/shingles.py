@@ -118,13 +118,13 @@ def set_digest(s: np.ndarray) -> bytes:
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """A bitmap in which each element flips one bit.
+    """A bitmap in which each element flips one bit; it has four bits or more for each, so that few flips cancel out.
 
     Bits that differ between two bitmaps never outnumber the elements in which the
     sets differ, so a count above the allowed difference rules a pair out.
     """
     bits = 64
-    while bits < len(s):
+    while bits < 4 * len(s):
         bits *= 2
     flips = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
