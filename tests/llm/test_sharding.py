@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from corpusloom.llm.sharding import shard_by_bytes
+from corpusloom.llm.sharding import LARGE, place_groups, shard_by_bytes
 
 SCHEMA = "doc_id long, text string"
 
@@ -48,3 +48,48 @@ def test_edge_cases(spark):
     assert shard_by_bytes(spark.createDataFrame([], SCHEMA), 40).count() == 0
     clash = spark.createDataFrame([(1, "a", 5, "z")], "doc_id long, text string, size int, range string")
     assert shard_by_bytes(clash, 2).count() == 1
+
+
+def test_groups_of_all_sizes_stay_whole_if_a_shard_can_hold_them(spark):
+    r = random.Random(3)
+    docs, k = [], 0
+    for g, copies in enumerate([1] * 1500 + [3] * 200 + [20] * 30 + [60] * 6 + [150] * 2 + [700]):
+        text = f"text {g} " + "z" * r.choice([10, 60, 90])
+        for _ in range(copies):
+            docs.append((k, text))
+            k += 1
+    r.shuffle(docs)
+    rows = shard_by_bytes(spark.createDataFrame(docs, SCHEMA).repartition(5), 8).collect()
+    sizes = check(rows, docs, 8)
+    mean = sum(sizes.values()) / 8
+    assert len(sizes) == 8 and all(abs(x - mean) <= mean / LARGE + 120 for x in sizes.values())
+    text_of, of = dict(docs), {}
+    for x in rows:
+        of.setdefault(text_of[x.doc_id], set()).add(x.shard)
+    bytes_of = {}
+    for _, t in docs:
+        bytes_of[t] = bytes_of.get(t, 0) + len(t) + 16
+    assert [t for t, s in of.items() if len(s) > 1] == [t for t, b in bytes_of.items() if b > mean]
+
+
+def test_groups_are_placed_by_brute_force():
+    """Against a plain search for the shard with most room, row by row for groups that fit nowhere."""
+    groups = [(g, s * n, n) for g, (s, n) in enumerate([(10, 30), (7, 50), (100, 1), (5, 400), (1, 90), (10, 30)])]
+    pieces, room = place_groups(groups, 4, 800.0)
+    left, plain = [800.0] * 4, {}
+    for g, size, n in sorted(groups, key=lambda x: (-x[1], x[0])):
+        at, each = 0, size / n
+        while at < n:
+            s = max(range(4), key=lambda i: (left[i], -i))
+            take = n - at if left[s] >= (n - at) * each else max(1, int(left[s] // each))
+            for k in range(at, at + take):
+                plain[g, k] = s
+            left[s] -= take * each
+            at += take
+    assert {(g, k): s for g, a, b, s in pieces for k in range(a, b)} == plain and all(abs(x - y) < 1e-6 for x, y in zip(room, left, strict=True))
+
+
+def test_repeated_rows_are_divided_between_ranges(spark):
+    docs = [(1, "the same row")] * 3000 + [(i, f"other {i}") for i in range(1500)]
+    sizes = check(shard_by_bytes(spark.createDataFrame(docs, SCHEMA), 5).collect(), docs, 5)
+    assert max(sizes.values()) - min(sizes.values()) <= 100
