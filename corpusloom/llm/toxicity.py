@@ -4,12 +4,14 @@ Method. From a bounded sample of labelled rows, words and word beginnings that g
 and dealt by hash into many lexicon voters; pattern voters (letters replaced by symbols, drawn-out letters, shouted
 or repeated lexicon words) stand beside them. A generative model with expectation-maximisation estimates
 the voters' accuracies, and from what remains of their correlation within the classes, how far they repeat each
-other. Its posterior labels train a sparse linear classifier over hashed words and word beginnings, which scores whole texts.
+other. Its posterior labels train a sparse linear classifier over hashed words and word beginnings, and over those of them that make
+up a share of the text's words; its intercept is set by the labels of the same rows. It scores whole texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch
 from corpusloom.llm.label_model import NEGATIVE, POSITIVE, LabelModel, fit_label_model, fit_linear
 
-#: Labelled rows that the fit reads at most, lexicon voters, features of the classifier at most.
-TRAIN_ROWS, LEXICONS, BEGINNINGS, MAX_FEATURES = 20_000, 24, 8, 50_000
+#: Labelled rows that the fit reads at most, voters from words and from word beginnings.
+TRAIN_ROWS, LEXICONS, BEGINNINGS = 20_000, 24, 8
+#: A feature is dense in a text if so many of its words have it, and so large a share of them; what tells its hash from the plain feature's.
+DENSE_WORDS, DENSE_SHARE, DENSE = 2, 0.01, 0x2A5B6C7D8E9F1031
 #: Lengths of word beginnings that are features beside the word.
 PREFIXES = (3, 4, 5, 6, 7)
 
@@ -53,12 +57,20 @@ class _Features(dict):
 _features = _Features()
 
 
+def is_dense(count: int, words: int) -> bool:
+    return count >= DENSE_WORDS and count >= DENSE_SHARE * words
+
+
 def features(text: str) -> np.ndarray:
-    """The distinct hashed features of a whole text."""
-    found: set[int] = set()
-    for fs in map(_features.__getitem__, set(text.split())):
-        found.update(fs)
-    return np.fromiter(found, np.int64, len(found))
+    """The distinct hashed features of a whole text, and once more those that are dense in it."""
+    words = Counter(text.split())
+    total = sum(words.values())
+    found: dict[int, int] = defaultdict(int)
+    for word, many in words.items():
+        for f in _features[word]:
+            found[f] += many
+    dense = [f ^ DENSE for f, many in found.items() if is_dense(many, total)]
+    return np.fromiter((*found, *dense), np.int64, len(found) + len(dense))
 
 
 @dataclass
@@ -82,16 +94,23 @@ class ToxicityModel:
                 if len(cache) > 200_000:
                     cache.clear()
                 forms = {word, word.translate(_AS_LETTERS), _DRAWN.sub(r"\1", word)}
-                hits = {f: weights[f] for x in forms for f in word_features(x) if f in weights}
-                got = cache[word] = tuple(hits.items()) if hits else nothing
+                hits = {f for x in forms for f in word_features(x) if f in weights or f ^ DENSE in weights}
+                got = cache[word] = tuple(hits) if hits else nothing
             return got
 
         def score(text: str | None) -> float:
-            hits: dict[int, float] = {}
-            for pairs in map(known, set((text or "").split())):
-                if pairs:
-                    hits.update(pairs)
-            z = bias + sum(hits.values())
+            words = Counter((text or "").split())
+            count: dict[int, int] = {}
+            for word, many in words.items():
+                for f in known(word):
+                    count[f] = count.get(f, 0) + many
+            z = bias
+            if count:
+                total = sum(words.values())
+                for f, many in count.items():
+                    z += weights.get(f, 0.0)
+                    if f ^ DENSE in weights and is_dense(many, total):
+                        z += weights[f ^ DENSE]
             return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
         self.__dict__["_score"] = score
@@ -123,11 +142,28 @@ def _votes(text_words: list[str], counted: set[int], lexicon: dict[int, int], pr
     return cast
 
 
+def best_cut(z: np.ndarray, label: np.ndarray) -> float:
+    """Where to cut the scores so that label 1 is found best (by the harmonic mean of precision and recall): of the gap that does so, the place nearest 0.
+
+    A fit that parts its rows wholly so keeps its own cut.
+    """
+    order = np.argsort(-z, kind="stable")
+    z, hit = z[order], np.cumsum(label[order])
+    found = np.arange(1, len(z) + 1)
+    f1 = 2 * hit / (found + max(1, hit[-1]))
+    f1[:-1][z[:-1] == z[1:]] = -1  # equal scores aren't parted
+    at = int(np.argmax(f1))
+    high, low = z[at], z[at + 1] if at + 1 < len(z) else z[at] - 1
+    edge = (high - low) / 10
+    return float(np.clip(0, low + edge, high - edge))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """A model fitted on at most ``train_rows`` labelled rows, chosen by a hash of the id among those that ``usable`` admits.
 
     ``usable`` is a condition on ``label_id``, the labels' id. Rows with a null label or id, and texts
-    without words, train nothing. Without any usable row the model scores every text 0.
+    without words, train nothing; of different texts of one id one trains, of different labels the larger. Without any usable row
+    the model scores every text 0. All features of these rows that go with the label are kept, however many.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
@@ -138,7 +174,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     chosen = known.orderBy(F.xxhash64("label_id", F.lit(5)), "label_id").limit(train_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
-    sample = scratch.save(texts.join(F.broadcast(scratch.save(chosen, "labels")), "label_id"), "sample")
+    # repeated rows of an id are one, so that the sample is as large as the labels
+    texts = texts.join(F.broadcast(scratch.save(chosen, "labels")), "label_id")
+    sample = scratch.save(texts.groupBy("label_id", "label").agg(F.min("text").alias("text")), "sample")
     # which features go with the label: counted by Spark, and only the telling ones come back
     total = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
@@ -154,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     counts = sample.mapInPandas(spread, "f long, label int").groupBy("f").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n"))
     # in how many standard deviations a feature's share of the label lies over the average, and the share itself, smoothed
     z = (F.col("a") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base) + 1e-9)
-    telling = counts.where("a >= 2").withColumn("z", z).withColumn("share", F.col("a") / (F.col("n") + 0.5)).where("z > 3 and share > 0.6").orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()
+    telling = counts.where("a >= 2").withColumn("z", z).withColumn("share", (F.col("a") - 0.5) / (F.col("n") + 0.5)).where("z > 3 and share > 0.6").select("f").collect()
     keep = np.array(sorted(r.f for r in telling), np.int64)
     column = {int(f): i for i, f in enumerate(keep)}
 
@@ -191,8 +229,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     posterior = voters.posterior(patterns)[inverse]
     sparse = [(i := np.frombuffer(r.idx, np.int32), np.ones(len(i), np.float32)) for r in rows]
     scorer = fit_linear(sparse, posterior, max(1, len(keep)), l2=1e-6)
+    z = np.array([scorer.bias + scorer.weights[i].sum() for i, _ in sparse])
+    bias = scorer.bias - best_cut(z, np.array([r.label for r in rows]))
     names = (*(f"words{i}" for i in range(LEXICONS)), *(f"beginnings{i}" for i in range(BEGINNINGS)), *_PATTERNS)
-    return ToxicityModel({int(f): float(w) for f, w in zip(keep, scorer.weights, strict=True) if w}, float(scorer.bias), voters, names)
+    return ToxicityModel({int(f): float(w) for f, w in zip(keep, scorer.weights, strict=True) if w}, float(bias), voters, names)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, column: str, text_col: str = "text") -> DataFrame:

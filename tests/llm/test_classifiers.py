@@ -1,11 +1,13 @@
 import os
+import re
 
 import numpy as np
 import pytest
+import xxhash
 
-from corpusloom.llm.label_model import NEGATIVE, POSITIVE, fit_label_model
-from corpusloom.llm.quality import classify_quality
-from corpusloom.llm.toxicity import classify_toxicity, fit_toxicity
+from corpusloom.llm.label_model import NEGATIVE, POSITIVE, LinearScorer, fit_label_model
+from corpusloom.llm.quality import classify_quality, features, statistics
+from corpusloom.llm.toxicity import DENSE, ToxicityModel, best_cut, classify_toxicity, fit_toxicity
 
 DATA = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -46,7 +48,71 @@ def test_toxicity_on_held_out_labels(spark):
     out = classify_toxicity(docs, labels)
     assert out.count() == docs.count()
     got = out.join(labels, "doc_id").where("held_out").toPandas()
-    assert (got.predicted == got.toxic).mean() >= 0.93
+    found = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert found / (got.toxic == 1).sum() >= 0.85 and found / (got.predicted == 1).sum() >= 0.9
+
+
+LARGER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="the tables aren't here")
+def test_toxicity_recall_and_precision_held_out(spark):
+    docs, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    got = classify_toxicity(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").toPandas()
+    found = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert found / (got.toxic == 1).sum() >= 0.9 and found / (got.predicted == 1).sum() >= 0.95
+
+
+def test_scores_by_brute_force():
+    """Each word's forms and beginnings one by one, against the scorer."""
+    words = ["Zork", "zorkling", "mild", "Mildly!", "st0ne", "stone", "soooo", "so"]
+    known = {w: 0.3 * i - 1 for i, w in enumerate(["zork", "^zor", "^zork", "mild", "^mil", "stone", "^sto", "so"])}
+    weights = {xxhash.xxh3_64_intdigest(w) >> 1: x for w, x in known.items()}
+    weights |= {f ^ DENSE: 2 * x for f, x in list(weights.items())[:5]}
+    score = ToxicityModel(weights, -0.4).scorer()
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5, 40, 400):
+        text = [words[i] for i in r.integers(0, len(words), n)] + ["filler"] * (n * 3)
+        count = {}
+        for w in text:
+            forms = {w, w.translate(str.maketrans("0!", "oi")), re.sub(r"(.)\1\1+", r"\1", w)}
+            seen = set()
+            for f in forms:
+                bare = f.strip("!").lower()
+                seen |= {bare, *(f"^{bare[:k]}" for k in (3, 4, 5, 6, 7) if len(bare) > k)}
+            for x in seen:
+                count[x] = count.get(x, 0) + 1
+        z = -0.4
+        for x, many in count.items():
+            f = xxhash.xxh3_64_intdigest(x) >> 1
+            z += weights.get(f, 0) + (weights.get(f ^ DENSE, 0) if many >= 2 and 100 * many >= len(text) else 0)
+        assert abs(score(" ".join(text)) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_best_cut_by_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        z, y = r.normal(size=30).round(1), (r.random(30) < 0.4).astype(int)
+        y[0] = 1
+        f1 = lambda c: 2 * ((z > c) & (y == 1)).sum() / ((z > c).sum() + y.sum())  # noqa: E731, B023
+        assert f1(best_cut(z, y)) >= max(f1(c) for c in [*z, z.min() - 1]) - 1e-12
+
+
+def test_quality_statistics_by_brute_force():
+    """The labellers' statistics word by word, and a score from them."""
+    text = "GOOD words!! here, here. && ok 12 $$$ Line\nLine\nLine\nfin." + " and more plain words follow." * 4
+    words, lines = text.split(), text.split("\n")
+    got, shapes = statistics(text)
+    share = lambda f: sum(map(f, words)) / len(words)
+    assert got["words"] == len(words) == len(shapes)
+    assert got["bangs"] == share(lambda w: w.endswith("!!")) and got["bare"] == share(lambda w: not any(c.isalnum() for c in w))
+    assert got["stops"] == share(lambda w: w[-1] in ".!?") and got["shout"] == share(lambda w: sum(c.isalpha() for c in w) > 1 and w.isupper())
+    assert got["repeats"] == sum(a == b for a, b in zip(words, words[1:], strict=False)) / (len(words) - 1)
+    assert got["lines"] == 1 - len(set(lines)) / len(lines) and got["symbols"] == share(lambda w: bool(re.search(r"[#$%&*~^=+<>|@\\]{2,}", w)))
+    idx, val = features(got, shapes)
+    w = np.random.default_rng(5).normal(size=1 << 14)
+    plain = sum(float(w[i]) * float(x) for i, x in zip(idx, val, strict=True)) + 0.3
+    assert abs(LinearScorer(w, 0.3).score(idx, val) - 1 / (1 + np.exp(-plain))) < 1e-5
 
 
 def test_edge_cases(spark):
