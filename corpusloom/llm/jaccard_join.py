@@ -29,6 +29,7 @@ size and bitmaps are kept, and copies are linked with each other by the digest o
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,16 +243,16 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cell_pairs(bands: Bands, plenty: int | None):
-    """Pairs of a cell that lie in different components and may link, by the bitmaps.
+    """Pairs of a cell that lie in different components and may link, by the bitmaps. A cell's documents come one after another.
 
     If there are over ``plenty`` for each member, one for any two components, with ``rest`` set; without ``plenty`` always all.
     """
 
-    def of(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, comp, doc, left, right = (np.array(x) for x in (r.n, r.comp, r.doc, r.left, r.right))
-        width = min(map(len, r.sketch))
-        bits = np.stack([folded(x, width) for x in r.sketch])
-        left, right = np.flatnonzero(left), np.flatnonzero(right)
+    def of(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, comp, doc = (cell[c].to_numpy() for c in ("n", "comp", "doc"))
+        width = min(map(len, cell["sketch"]))
+        bits = np.stack([folded(x, width) for x in cell["sketch"]])
+        left, right = np.flatnonzero(cell["left"]), np.flatnonzero(cell["right"])
         step = max(1, (1 << 20) // (len(right) * bits.shape[1] + 1))
         found = [np.empty((3, 0), np.int64)]
         for k in range(0, len(left), step):
@@ -272,12 +273,23 @@ def _cell_pairs(bands: Bands, plenty: int | None):
             x, y = x[order[first]], y[order[first]]
         return np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), np.full(len(x), rest)
 
+    def pairs(pdf: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
+        found = [of(pdf.iloc[i:j]) for i, j in itertools.pairwise(edges)]
+        a, b, rest = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "rest": rest.astype(bool)}).drop_duplicates()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for pdf in batches:
-            found = [of(r) for r in pdf.itertuples(index=False)]
-            if found:
-                a, b, rest = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "rest": rest.astype(bool)}).drop_duplicates()
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            cell = pdf[["gid", "i", "j"]].to_numpy(np.int64)
+            edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist()]
+            if len(edges) > 1:
+                yield pairs(pdf, edges)
+            held = pdf.iloc[edges[-1] :]
+        if held is not None and len(held):
+            yield pairs(held, [0, len(held)])
 
     return run
 
@@ -445,7 +457,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch.release()
 
     def cells(comps: DataFrame) -> DataFrame:
-        """The groups that hold several components, each cell's documents as lists."""
+        """The groups that hold several components, each cell's documents one after another."""
         marked = members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
         mixed = (
             marked.groupBy("gid")
@@ -461,10 +473,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .withColumn("row", F.pmod(F.xxhash64("doc"), F.col("down")).cast("int"))
             .withColumn("col", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("across")).cast("int"))
             .withColumn("cell", F.expr(cell))
-            .select("gid", "cell", "doc", "comp", F.expr("core and cell.i = row").alias("left"), F.expr("cell.j = col").alias("right"))
+            .select("gid", "cell.i", "cell.j", "doc", "comp", F.expr("core and cell.i = row").alias("left"), F.expr("cell.j = col").alias("right"))
             .join(once.select("doc", "n", "sketch"), "doc")
         )
-        return dealt.groupBy("gid", "cell").agg(*(F.collect_list(c).alias(c) for c in ("doc", "comp", "n", "sketch", "left", "right")))
+        return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
 
     for name, plenty in (("pairs", PLENTY), ("rest", None)):
         met = scratch.save(cells(comps).mapInPandas(_cell_pairs(bands, plenty), "a long, b long, rest boolean"), name)

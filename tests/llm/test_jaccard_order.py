@@ -70,7 +70,7 @@ def test_cells_compare_only_probing_documents_of_other_components():
     bands = Bands(80, 100)
     bits = [np.zeros(2, np.uint64).tobytes()] * 4
     cell = {"doc": [1, 2, 3, 4], "comp": [1, 1, 3, 4], "n": [50] * 4, "sketch": bits, "left": [True, False, False, False], "right": [True] * 4}
-    cell = pd.DataFrame({k: [v] for k, v in cell.items()})
+    cell = pd.DataFrame(cell).assign(gid=1, i=0, j=0)
     pairs = pd.concat(_cell_pairs(bands, None)(iter([cell])))
     assert sorted(map(tuple, pairs[["a", "b"]].to_numpy().tolist())) == [(1, 3), (1, 4)] and not pairs["rest"].any()
 
@@ -80,7 +80,7 @@ def test_a_cell_with_plenty_of_pairs_gives_the_closest_first():
     far = np.zeros(2, np.uint64)
     far[0] = 7
     cell = {"doc": [1, 2, 3, 4], "comp": [1, 1, 9, 9], "n": [50] * 4, "sketch": [far.tobytes(), *[np.zeros(2, np.uint64).tobytes()] * 3], "left": [True] * 4, "right": [True] * 4}
-    cell = pd.DataFrame({k: [v] for k, v in cell.items()})
+    cell = pd.DataFrame(cell).assign(gid=1, i=0, j=0)
     pairs = pd.concat(_cell_pairs(bands, 1)(iter([cell])))
     assert pairs.to_numpy().tolist() == [[2, 3, True]]
 
