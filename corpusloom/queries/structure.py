@@ -16,7 +16,7 @@ _OUTLINE = """WITH raw AS (
   SELECT r_name AS source, 1 AS level, n_name AS title, n_nationkey AS a, '' AS b, 0 AS c FROM region JOIN nation ON n_regionkey = r_regionkey
   UNION ALL SELECT DISTINCT r_name, 2, c_mktsegment, n_nationkey, c_mktsegment, 0 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
   UNION ALL SELECT r_name, 3, CASE WHEN c_acctbal < 0 THEN 'Table of Contents' ELSE c_name END, n_nationkey, c_mktsegment, c_custkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey),
-o AS (SELECT source, level, title, row_number() OVER (PARTITION BY source ORDER BY a, b, c) AS ord FROM raw),
+o AS (SELECT source, level, title, row_number() OVER (PARTITION BY source ORDER BY a, b, c, level) AS ord FROM raw),
 t AS (SELECT *, 2 * ord AS page, row_number() OVER (PARTITION BY source ORDER BY ord) AS n FROM o WHERE lower(title) <> 'table of contents'),
 j AS (SELECT i.source, i.n, i.level, i.page, j.n AS jn, j.title AS jt, j.level AS jl FROM t i JOIN t j ON j.source = i.source AND j.n <= i.n AND j.level <= i.level
       QUALIFY row_number() OVER (PARTITION BY i.source, i.n, j.level ORDER BY j.n DESC) = 1),
@@ -33,7 +33,7 @@ def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = c.select("source", F.lit(2).alias("level"), F.col("c_mktsegment").alias("title"), F.col("n_nationkey").alias("a"), F.col("c_mktsegment").alias("b"), F.lit(0).cast("long").alias("c")).distinct()
     three = c.select("source", F.lit(3).alias("level"), title.alias("title"), F.col("n_nationkey").alias("a"), F.col("c_mktsegment").alias("b"), F.col("c_custkey").alias("c"))
     rows = one.unionByName(two).unionByName(three)
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("source").orderBy("a", "b", "c"))).withColumn("page", 2 * F.col("ord")).select("source", "ord", "level", "title", "page")
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("source").orderBy("a", "b", "c", "level"))).withColumn("page", 2 * F.col("ord")).select("source", "ord", "level", "title", "page")
 
 
 @R.add(_OUTLINE + "SELECT source, n, level, page, path FROM p")
@@ -105,7 +105,7 @@ def ref_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     """SELECT n_name AS source, 1 AS page_num, n_name || ' Manager' AS appl, n_name || ' Manager appliance resource requirements: 6 vCPU, 16.5 GB RAM, 914 GB storage.' AS text FROM nation
-UNION ALL SELECT n_name, 2, n_name || ' Edge', n_name || ' Edge appliance deployment sizes and per-size resource requirements: Extra Small (1 vCPU, 4 GB RAM); Large (8 vCPU, 32 GB RAM, 200 GB storage); X Small (2 vCPU). The smallest available '
+UNION ALL SELECT n_name, 2, n_name || ' Edge', n_name || ' Edge appliance deployment sizes and per-size resource requirements (from the VCF Planning & Preparation Workbook): Extra Small (1 vCPU, 4 GB RAM); Large (8 vCPU, 32 GB RAM, 200 GB storage); X Small (2 vCPU). The smallest available '
 || n_name || ' Edge size is Extra Small.' FROM nation"""
 )
 def sizing_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
