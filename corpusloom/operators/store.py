@@ -50,12 +50,13 @@ def delete_ids(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids.select("id"), "id", "left_anti").select(*store.columns)
 
 
-def diff_stats(chunks: DataFrame, store: DataFrame) -> DataFrame:
-    """``total, added, removed, unchanged`` in one row; repeated new chunks count each, removed ids once."""
-    new = chunks.groupBy("id").agg(F.count("*").alias("k"))
-    old = store.select("id").distinct().withColumn("stored", F.lit(True))
-    both = new.join(old, "id", "full")
-    return both.agg(
+def diff_stats(chunks: DataFrame, store: DataFrame, by: str | None = None) -> DataFrame:
+    """``total, added, removed, unchanged`` in one row, or in one for each value of ``by``; repeated new chunks count each, removed ids once."""
+    key = [by] if by else []
+    new = chunks.groupBy(*key, "id").agg(F.count("*").alias("k"))
+    old = store.select(*key, "id").distinct().withColumn("stored", F.lit(True))
+    both = new.join(old, [*key, "id"], "full")
+    return both.groupBy(*key).agg(
         F.coalesce(F.sum("k"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(F.col("stored").isNull(), F.col("k"))), F.lit(0)).alias("added"),
         F.count(F.when(F.col("k").isNull(), 1)).alias("removed"),
@@ -63,14 +64,15 @@ def diff_stats(chunks: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
-def diff_summary(added: DataFrame, removed: DataFrame) -> DataFrame:
-    """By section: chunks added and removed and the pages they span, most changed first."""
-    rows = added.select("section", "page_start", "page_end", F.lit(1).alias("a")).unionByName(removed.select("section", "page_start", "page_end", F.lit(0).alias("a")))
+def diff_summary(added: DataFrame, removed: DataFrame, by: str | None = None) -> DataFrame:
+    """By section, or by ``by`` and section: chunks added and removed and the pages they span, most changed first."""
+    key = [by] if by else []
+    rows = added.select(*key, "section", "page_start", "page_end", F.lit(1).alias("a")).unionByName(removed.select(*key, "section", "page_start", "page_end", F.lit(0).alias("a")))
     section = F.when(F.coalesce("section", F.lit("")) == "", UNSECTIONED).otherwise(F.col("section"))
     return (
-        rows.groupBy(section.alias("section"))
+        rows.groupBy(*key, section.alias("section"))
         .agg(F.sum("a").alias("added"), F.sum(1 - F.col("a")).alias("removed"), F.min("page_start").alias("page_lo"), F.max("page_end").alias("page_hi"))
-        .orderBy(F.desc(F.col("added") + F.col("removed")), "section")
+        .orderBy(*key, F.desc(F.col("added") + F.col("removed")), "section")
     )
 
 
