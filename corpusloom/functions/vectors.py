@@ -20,5 +20,11 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
 
 
+def usable(a: Column) -> Column:
+    """Whether a vector can be compared: neither null nor empty, and without null, NaN or infinite components."""
+    finite = F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(a.isNotNull() & (F.size(a) > 0) & finite, F.lit(False))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
