@@ -1,7 +1,11 @@
-"""Text functions. All are native expressions, so they stay in whole-stage code generation."""
+"""Text functions. All are native expressions (higher-order ones are interpreted inside the generated code), but for an injected tokenizer."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import UTC, datetime
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +50,18 @@ def token_count(c: Column) -> Column:
     return F.size(tokens(c))
 
 
+def token_arrays(texts: Column, tokenizer: Callable[[str], list[str]] | None = None) -> Column:
+    """The tokens of each text of an array: the default ones, or those of an injected tokenizer whose tokens joined give the text back."""
+    if tokenizer is None:
+        return F.transform(texts, tokens)
+
+    @F.pandas_udf("array<array<string>>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if row is None else [tokenizer(t) for t in row] for row in rows], dtype="object")
+
+    return run(texts)
+
+
 def content_id(source: Column, text: Column) -> Column:
     """An id that depends on source and text alone, so that moved pages keep it."""
     return F.concat(source, F.lit("-"), F.substring(F.sha1(F.concat_ws("|", source, text)), 1, 14))
@@ -134,9 +150,10 @@ BREADTH = r"(?i)\b(all|every|each|full|complete|entire)\b[^.?!]{0,40}\bcomponent
 
 # The wording that marks an answer as not found in the context.
 NOT_FOUND = (
-    r"(?i)context (provided )?does not|does not (contain|specify|provide|include|mention|detail)"
-    r"|not (specified|provided|mentioned|detailed|present|available) in"
-    r"|cannot find|no information (on|about|in|is)|don't have (enough|that|the)"
+    r"(?i)context (?:provided )?does not|"
+    r"does not (?:contain|specify|provide|include|mention|detail)|"
+    r"not (?:specified|provided|mentioned|detailed|present|available) in|"
+    r"cannot find|no information (?:on|about|in|is)|don't have (?:enough|that|the)"
 )
 
 #: A citation with source and pages, and the looser form that counts as one. Fixed values.
@@ -144,6 +161,10 @@ CITATION = r"\[([A-Za-z0-9_][A-Za-z0-9_.-]*)\s+p\.([0-9]+)(?:[–-]([0-9]+))?\]"
 ANY_CITATION = r"\[[^\]]*p\.[0-9]+[^\]]*\]"
 
 
+# What follows a component's name in the question how it is classified.
+CLASSIFICATION = " a required, optional, essential, or always-deployed management component of the VCF management domain?"
+
+
 def asks_breadth(question: Column) -> Column:
     return question.rlike(BREADTH)
 
@@ -154,4 +175,9 @@ def says_not_found(answer: Column) -> Column:
 
 def classification_question(component: Column) -> Column:
     """A sub-query that fetches how the documents classify a component."""
-    return F.concat(F.lit("Is "), component, F.lit(" required, optional, essential, or always deployed?"))
+    return F.concat(F.lit("Is "), component, F.lit(CLASSIFICATION))
+
+
+def now_iso() -> str:
+    """The present second in UTC, as update logs write it."""
+    return datetime.now(UTC).isoformat(timespec="seconds")

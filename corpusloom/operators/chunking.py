@@ -1,29 +1,40 @@
 """Greedy paragraph packing into overlapping chunks, as a native fold over token counts.
 
-With additive tokens (see :func:`corpusloom.functions.text.tokens`) chunk boundaries depend on integers only. Pieces
-are exploded natively, one ``aggregate`` folds their counts into token intervals, and text is rebuilt by
-slicing the token array. A group (one document, or one atomic-free segment of a source) is a row, so nothing shuffles
-beyond gathering a source's pages.
+With additive tokens (see :func:`corpusloom.functions.text.tokens`; another tokenizer can be injected, whose counts are taken as additive too)
+chunk boundaries depend on integers only. One ``aggregate`` folds the pieces' counts into token intervals, and each chunk is rebuilt by
+slicing the token array before chunks become rows, so no row carries more than its own text. A group (one document, or one atomic-free segment
+of a source) is a row, so nothing shuffles beyond gathering a source's pages. As packing runs on over the pages of a segment, a segment is
+packed in one task by nature; it holds one source's prose between two tables, not a corpus.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import content_id, paragraphs, token_count, tokens
+from corpusloom.functions.text import content_id, paragraphs, strip, token_arrays, token_count, tokens
 
 
-def pieces(text: Column, target: int, delimiter: str = "\n\n") -> Column:
-    """``array<struct<tok, over>>``: paragraphs as token arrays, those of over ``target`` tokens cut into slices."""
+Tokenizer = Callable[[str], list[str]]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where a lambda would repeat it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _cut(t: Column, target: int) -> Column:
+    """A paragraph's tokens as one piece, or as slices if there are over ``target``."""
+    n = F.size(t)
+    sliced = F.transform(F.sequence(F.lit(1), n, F.lit(target)), lambda i: F.struct(F.slice(t, i, F.lit(target)).alias("tok"), F.lit(True).alias("over")))
+    return F.when(n <= target, F.array(F.struct(t.alias("tok"), F.lit(False).alias("over")))).otherwise(sliced)
 
-    def cut(p: Column) -> Column:
-        t = tokens(p)
-        n = F.size(t)
-        sliced = F.transform(F.sequence(F.lit(1), n, F.lit(target)), lambda i: F.struct(F.slice(t, i, F.lit(target)).alias("tok"), F.lit(True).alias("over")))
-        return F.when(n <= target, F.array(F.struct(t.alias("tok"), F.lit(False).alias("over")))).otherwise(sliced)
 
-    return F.flatten(F.transform(paragraphs(text, delimiter), cut))
+def pieces(text: Column, target: int, delimiter: str = "\n\n", tokenizer: Tokenizer | None = None) -> Column:
+    """``array<struct<tok, over>>``: paragraphs as token arrays, those of over ``target`` tokens cut into slices."""
+    return F.flatten(F.transform(token_arrays(paragraphs(text, delimiter), tokenizer), lambda t: _cut(t, target)))
 
 
 def hard_split(df: DataFrame, text: str, target: int, delimiter: str = "\n\n") -> DataFrame:
@@ -49,9 +60,9 @@ def fold_intervals(counts: Column, target: int, overlap: int) -> Column:
         return st["e"] - st["s"] + 1
 
     def step(st: Column, p: Column) -> Column:
-        a = F.when((size(st) > 0) & (size(st) + p["n"] > target), flush(st)).otherwise(st)
-        b = F.struct(a["out"].alias("out"), a["s"].alias("s"), (a["e"] + p["n"]).alias("e"))
-        return F.when(p["over"] & (size(b) >= target), flush(b)).otherwise(b)
+        before = F.when((size(st) > 0) & (size(st) + p["n"] > target), flush(st)).otherwise(st)
+        added = let(before, lambda a: F.struct(a["out"].alias("out"), a["s"].alias("s"), (a["e"] + p["n"]).alias("e")))
+        return let(added, lambda b: F.when(p["over"] & (size(b) >= target), flush(b)).otherwise(b))
 
     zero = F.struct(F.array().cast(interval).alias("out"), F.lit(1).alias("s"), F.lit(0).alias("e"))
     return F.aggregate(counts, zero, step, lambda st: F.when(size(st) > 0, flush(st)["out"]).otherwise(st["out"]))
@@ -69,44 +80,42 @@ def chunk_rows(df: DataFrame, parts: Column, target: int, overlap: int, source:
     d = d.withColumn(
         "_tok", F.flatten(F.transform("_parts", lambda p: F.concat(F.array(F.concat(F.lit("\n\n"), F.element_at(p["tok"], 1))), F.slice(p["tok"], F.lit(2), F.size(p["tok"])))))
     ).withColumn("_of", F.flatten(F.transform("_parts", lambda p, i: F.array_repeat(i + 1, F.size(p["tok"])))))
-    d = d.select(*keep, source.alias("_source"), "_parts", "_chunks", "_tok", "_of", F.posexplode("_chunks").alias("chunk", "_c"))
-    before = F.when(F.col("chunk") > 0, F.try_element_at("_chunks", F.col("chunk")))
-    piece = lambda token: F.element_at("_of", token)
-    # the first piece appended since the flush: the one after the last token of the chunk before
-    fresh = F.when(before["e"].isNull(), F.element_at("_parts", piece(F.col("_c.s")))["section"]).when(
-        before["e"] < F.col("_c.e"), F.element_at("_parts", piece(before["e"] + 1))["section"]
-    )
-    start = F.element_at("_parts", piece(F.when(before["e"].isNull() | F.lit(overlap == 0), F.col("_c.s")).otherwise(before["e"])))["page"]
-    text = F.regexp_replace(F.array_join(F.slice("_tok", F.col("_c.s"), F.col("_c.e") - F.col("_c.s") + 1), ""), r"^\s+", "")
+
+    def built(c: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.try_element_at("_chunks", i))["e"]
+        piece = lambda token: F.element_at("_of", token)
+        # the first piece appended since the flush: the one after the last token of the chunk before
+        fresh = F.when(before.isNull(), F.element_at("_parts", piece(c["s"]))["section"]).when(before < c["e"], F.element_at("_parts", piece(before + 1))["section"])
+        start = F.element_at("_parts", piece(F.when(before.isNull() | F.lit(overlap == 0), c["s"]).otherwise(before)))["page"]
+        # the size is asked for so that the arrays are used twice, and so computed once for a row instead of in the lambda
+        text = F.array_join(F.slice("_tok", c["s"], F.least(c["e"] - c["s"] + 1, F.size("_tok"))), "")
+        return F.struct(
+            c["s"].alias("tok_start"), c["e"].alias("tok_end"), start.alias("page_start"), F.element_at("_parts", piece(c["e"]))["page"].alias("page_end"),
+            fresh.alias("section"), text.alias("text"),
+        )
+
+    d = d.select(*keep, source.alias("_source"), F.posexplode(F.transform("_chunks", built)).alias("chunk", "_c"))
+    text = F.regexp_replace("_c.text", r"^\s+", "")
     return d.select(
-        *keep,
-        content_id(F.col("_source"), text).alias("id"),
-        "chunk",
-        F.col("_c.s").alias("tok_start"),
-        F.col("_c.e").alias("tok_end"),
-        (F.col("_c.e") - F.col("_c.s") + 1).alias("n_tokens"),
-        start.alias("page_start"),
-        F.element_at("_parts", piece(F.col("_c.e")))["page"].alias("page_end"),
-        fresh.alias("section"),
-        text.alias("text"),
-    )
+        *keep, content_id(F.col("_source"), text).alias("id"), "chunk", "_c.tok_start", "_c.tok_end", (F.col("_c.tok_end") - F.col("_c.tok_start") + 1).alias("n_tokens"),
+        "_c.page_start", "_c.page_end", "_c.section", text.alias("text"),
+    )
 
 
-def document_parts(text: Column, section: Column, target: int) -> Column:
+def document_parts(text: Column, section: Column, target: int, tokenizer: Tokenizer | None = None) -> Column:
     """Parts of a document whose pages are its lines."""
-    lines = F.split(text, "\n")
-    return F.flatten(
-        F.transform(lines, lambda line, i: F.transform(pieces(line, target), lambda p: F.struct((i + 1).alias("page"), section.alias("section"), p["tok"].alias("tok"), p["over"].alias("over"))))
-    )
+    lines = token_arrays(F.transform(F.split(text, "\n"), strip), tokenizer)
+    part = lambda i: lambda p: F.struct((i + 1).alias("page"), section.alias("section"), p["tok"].alias("tok"), p["over"].alias("over"))
+    return F.flatten(F.transform(lines, lambda t, i: F.transform(_cut(t, target), part(i))))
 
 
-def chunk_documents(docs: DataFrame, target: int = 800, overlap: int = 100, text: str = "text", source: str = "source", section: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def chunk_documents(docs: DataFrame, target: int = 800, overlap: int = 100, text: str = "text", source: str = "source", section: str | None = None, keep: tuple[str, ...] = ("doc_id",), tokenizer: Tokenizer | None = None) -> DataFrame:
     """Chunks of documents whose pages are their lines; each document is packed on its own, without any shuffle."""
     sec = F.col(section) if section else F.lit(None).cast("string")
-    return chunk_rows(docs, document_parts(F.col(text), sec, target), target, overlap, F.col(source), list(keep))
+    return chunk_rows(docs, document_parts(F.col(text), sec, target, tokenizer), target, overlap, F.col(source), list(keep))
 
 
-def chunk_pages(pages: DataFrame, target: int = 800, overlap: int = 100, delimiter: str = "\n\n") -> DataFrame:
+def chunk_pages(pages: DataFrame, target: int = 800, overlap: int = 100, delimiter: str = "\n\n", tokenizer: Tokenizer | None = None) -> DataFrame:
     """``source, segment, id, chunk, …`` for pages ``(source, ord, page_num, text, section, atomic)``.
 
     Packing runs on over the pages of a source. An atomic page is a chunk of its own, and nothing is carried across it:
@@ -116,13 +125,13 @@ def chunk_pages(pages: DataFrame, target: int = 800, overlap: int = 100, delimit
     p = pages.withColumn("segment", F.sum(F.col("atomic").cast("int")).over(run))
     prose = (
         p.where("not atomic")
-        .select("source", "segment", F.struct("ord", "page_num", "section", pieces(F.col("text"), target, delimiter).alias("ps")).alias("r"))
+        .select("source", "segment", F.struct("ord", "page_num", "section", pieces(F.col("text"), target, delimiter, tokenizer).alias("ps")).alias("r"))
         .groupBy("source", "segment")
         .agg(F.array_sort(F.collect_list("r")).alias("rs"))
     )
     parts = F.flatten(F.transform("rs", lambda r: F.transform(r["ps"], lambda x: F.struct(r["page_num"].alias("page"), r["section"].alias("section"), x["tok"].alias("tok"), x["over"].alias("over")))))
     packed = chunk_rows(prose, parts, target, overlap, F.col("source"), ["source", "segment"])
-    n = token_count(F.col("text"))
+    n = F.size(F.element_at(token_arrays(F.array("text"), tokenizer), 1)) if tokenizer else token_count(F.col("text"))
     alone = p.where("atomic").select(
         "source", "segment", content_id(F.col("source"), F.col("text")).alias("id"), F.lit(-1).alias("chunk"), F.lit(1).alias("tok_start"), n.alias("tok_end"), n.alias("n_tokens"),
         F.col("page_num").alias("page_start"), F.col("page_num").alias("page_end"), "section", "text",
