@@ -141,3 +141,41 @@ def export_session(turns: DataFrame, by: str = "conv_id", order: str = "turn") -
     block = F.when(F.col("role") == "user", F.concat(F.lit("---\n\n## Q"), n("user"), F.lit("\n\n"), quoted, F.lit("\n"))).otherwise(F.concat(F.lit("### A"), n("assistant"), F.lit("\n\n"), strip(F.col("text")), F.lit("\n")))
     rows = turns.where("role in ('user', 'assistant')").select(by, F.struct(F.col(order).alias("o"), block.alias("b")).alias("x"))
     return rows.groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("xs")).select(by, F.array_join(F.transform("xs", lambda x: x["b"]), "\n").alias("markdown"))
+
+
+# How a question is put to the chat model.
+ASKED = "Context snippets (each prefixed with its citation marker):\n\n"
+
+
+def user_message(context: Column, question: Column) -> Column:
+    """The message that carries context and question."""
+    return F.concat(F.lit(ASKED), context, F.lit("\n\nQuestion: "), question)
+
+
+def messages(system: str, turns: DataFrame, asked: DataFrame, by: str = "conv_id", order: str = "turn") -> DataFrame:
+    """``(by, pos, role, content)``: the system prompt, the two speakers' turns with content in order, and the question of ``asked(by, context, question)`` with its context."""
+    said = turns.where(F.col("role").isin("user", "assistant") & (F.coalesce("text", F.lit("")) != "")).join(asked.select(by), by, "left_semi")
+    rows = (
+        asked.select(by, F.lit(0).alias("_part"), F.lit(0).cast("long").alias("_o"), F.lit("system").alias("role"), F.lit(system).alias("content"))
+        .unionByName(said.select(by, F.lit(1).alias("_part"), F.col(order).cast("long").alias("_o"), "role", F.col("text").alias("content")))
+        .unionByName(asked.select(by, F.lit(2).alias("_part"), F.lit(0).cast("long").alias("_o"), F.lit("user").alias("role"), user_message(F.col("context"), F.col("question")).alias("content")))
+    )
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy("_part", "_o")) - 1).select(by, "pos", "role", "content")
+
+
+def thinks_adaptively(model: Column) -> Column:
+    """Whether a chat model takes the adaptive-thinking parameter. The names are fixed values."""
+    low = F.lower(F.coalesce(model, F.lit("")))
+    return F.contains(low, F.lit("opus")) | F.contains(low, F.lit("sonnet"))
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Evaluation results ``(cat, q, ok, fails, sources, citations, answer)``, or ``(q, error)``, as JSON lines."""
+    results.write.mode("overwrite").json(path)
+
+
+def status(store: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: chunks, sources, and the last update's time and source; null without any."""
+    count = store.agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"))
+    last = entries.agg(F.max(F.struct("ts", "source")).alias("l")).select(F.col("l.ts").alias("last_update"), F.col("l.source").alias("last_source"))
+    return count.crossJoin(F.broadcast(last))  # one row each

@@ -10,6 +10,9 @@ from corpusloom.functions.text import is_number
 # Metric names, the words that no header of the second kind may end in or hold, and the order of sizes.
 METRICS = {"cpu": "cpu", "cpus": "cpu", "vcpu": "cpu", "ram": "ram", "memory": "ram", "disk": "disk", "storage": "disk"}
 METRIC_ENDS, NOT_HEADERS = r"(cpu|ram|memory|disk|storage)$", ("size list", "storage si")
+# What stands between the parts of a sentence.
+SENTENCE_MANY = (" appliance deployment sizes and per-size resource requirements (from the VCF Planning & Preparation Workbook): ", ". The smallest available ", " size is ", ".")
+SENTENCE_ONE = (" appliance resource requirements: ", ".")
 SIZES = ("Extra Small", "Extra_Small", "Tiny", "Light", "Small", "Standard", "Medium", "Large", "Extra Large", "XLarge", "X-Large")
 
 
@@ -80,10 +83,10 @@ def sizing_sentences(parsed: DataFrame, by: str = "source") -> DataFrame:
     item = F.struct(F.when(place > 0, place - 1).otherwise(99).alias("o"), "first_ord", "size", "spec")
     per = s.groupBy(by, "mode", "appl").agg(F.min("first_ord").alias("at"), F.array_sort(F.collect_list(item)).alias("items"))
     many = F.concat(
-        F.col("appl"), F.lit(" appliance deployment sizes and per-size resource requirements: "), F.array_join(F.transform("items", lambda i: F.concat(i["size"], F.lit(" ("), i["spec"], F.lit(")"))), "; "),
-        F.lit(". The smallest available "), F.col("appl"), F.lit(" size is "), F.element_at("items", 1)["size"], F.lit("."),
+        F.col("appl"), F.lit(SENTENCE_MANY[0]), F.array_join(F.transform("items", lambda i: F.concat(i["size"], F.lit(" ("), i["spec"], F.lit(")"))), "; "),
+        F.lit(SENTENCE_MANY[1]), F.col("appl"), F.lit(SENTENCE_MANY[2]), F.element_at("items", 1)["size"], F.lit(SENTENCE_MANY[3]),
     )
-    one = F.concat(F.col("appl"), F.lit(" appliance resource requirements: "), F.element_at("items", 1)["spec"], F.lit("."))
+    one = F.concat(F.col("appl"), F.lit(SENTENCE_ONE[0]), F.element_at("items", 1)["spec"], F.lit(SENTENCE_ONE[1]))
     order = Window.partitionBy(by).orderBy(F.desc("mode"), "at", "appl")
     return per.select(by, F.row_number().over(order).alias("page_num"), "appl", F.when(F.col("mode") == "B", one).otherwise(many).alias("text"))
 

@@ -121,7 +121,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of ``events``: views are blank lines, errors broken, clicks have a field too many, signups lack the later fields."""
     n = F.col("event_id").cast("string")
     base = F.concat(
-        F.lit('{"ts":"'), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit('","source":"u'), F.col("user_id").cast("string"), F.lit('","sha256":"'), n, F.lit('","bytes":'), n,
+        F.lit('{"ts":"'), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit('","source":"u'), F.col("user_id").cast("string"), F.lit('","broadcom_last_modified":null,"sha256":"'), n, F.lit('","bytes":'), n,
         F.lit(',"chunks_before":100,"chunks_after":'), F.col("user_id").cast("string"), F.lit(',"duration_sec":1.5'),
     )
     full = F.concat(base, F.lit(',"chunks_added":'), n, F.lit(',"chunks_removed":0}'))

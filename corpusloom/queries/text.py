@@ -193,12 +193,16 @@ def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUESTION_SQL = "CASE WHEN contains(text, 'the') THEN 'List every component: ' || text ELSE text END"
 
 
+# The wording, stated here anew so that the SQL doesn't follow the module's.
+_EVERYTHING = r"\b(all|every|each|full|complete|entire)\b[^.?!]{0,40}\bcomponents?\b|\bcomponents?\b[^.?!]{0,40}\b(all|every|each|list)\b"
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.when(F.contains("text", F.lit("the")), F.concat(F.lit("List every component: "), F.col("text"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "benchmark").select("item_id", q.alias("question"))
 
 
-@R.add(f"SELECT item_id, CASE WHEN regexp_matches({_QUESTION_SQL}, '{fx.BREADTH}') THEN 'breadth' ELSE 'specific' END AS route, 'single' AS route_off FROM benchmark")
+@R.add(f"SELECT item_id, CASE WHEN regexp_matches(lower({_QUESTION_SQL}), '{_EVERYTHING}') THEN 'breadth' ELSE 'specific' END AS route, 'single' AS route_off FROM benchmark")
 def route_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark, sf_dir).select("item_id", retrieval.route(F.col("question")).alias("route"), retrieval.route(F.col("question"), multi_query=False).alias("route_off"))
 
@@ -206,7 +210,7 @@ def route_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     f"""WITH q AS (SELECT item_id, {_QUESTION_SQL} AS question FROM benchmark), c AS (SELECT n_name AS c, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation WHERE n_regionkey = 1),
 s AS (SELECT item_id, 0 AS si, question AS sub FROM q UNION ALL SELECT item_id, 2 * i - 1, c || ' — ' || question FROM q, c
-      UNION ALL SELECT item_id, 2 * i, 'Is ' || c || ' required, optional, essential, or always deployed?' FROM q, c)
+      UNION ALL SELECT item_id, 2 * i, 'Is ' || c || ' a required, optional, essential, or always-deployed management component of the VCF management domain?' FROM q, c)
 SELECT item_id, si, sub, least(30, greatest(6, 2 * (1 + 2 * (SELECT count(*) FROM c)))) AS k_total FROM s"""
 )
 def fan_out_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import grouped
 
+# The fields of an entry, and those that each entry has.
 FIELDS = {
-    "ts": "string", "source": "string", "last_modified": "string", "sha256": "string", "bytes": "bigint", "chunks_before": "bigint", "chunks_after": "bigint",
+    "ts": "string", "source": "string", "broadcom_last_modified": "string", "sha256": "string", "bytes": "bigint", "chunks_before": "bigint", "chunks_after": "bigint",
     "duration_sec": "double", "chunks_added": "bigint", "chunks_removed": "bigint", "diff_sections": "array<struct<section:string,added:int,removed:int,pages:array<int>>>",
 }
 SCHEMA = ", ".join(f"{k} {v}" for k, v in FIELDS.items())
-REQUIRED = ("ts", "source", "sha256", "bytes", "chunks_before", "chunks_after", "duration_sec")
+REQUIRED = ("ts", "source", "broadcom_last_modified", "sha256", "bytes", "chunks_before", "chunks_after", "duration_sec")
 
 
 def append_entries(entries: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fx
 from corpusloom.operators import answers, manifest, outline, reftables, retrieval, sizing, store
-from corpusloom.plans.maintenance import StoreTable, index_incremental
+from corpusloom.plans.maintenance import StoreTable, index_incremental, update_job
 from corpusloom.sources.changelog import parse_entries
 from corpusloom.streaming.watch import maintain
 
@@ -28,6 +28,12 @@ def test_pages_before_the_first_heading(spark):
     assert [r.section for r in outline.attach_sections(pages, paths).orderBy("page").collect()] == [None, "A"]
 
 
+def test_outlines_deeper_than_nine_levels(spark):
+    rows = [(level, f"T{level}", level) for level in range(1, 13)] + [(11, "U", 20)]
+    paths = [r.path for r in outline.section_paths(entries(spark, rows)).orderBy("n").collect()]
+    assert paths[11] == " › ".join(f"T{k}" for k in range(1, 13)) and paths[12] == " › ".join([*(f"T{k}" for k in range(1, 11)), "U"])
+
+
 def test_contents_title_closes_nothing(spark):
     rows = [(1, "A", 1), (2, "B", 2), (1, " Table of Contents ", 3), (3, "C", 4), (2, " ", 5)]
     assert [r.path for r in outline.section_paths(entries(spark, rows)).orderBy("n").collect()] == ["A", "A › B", "A › B › C"]
@@ -44,7 +50,7 @@ def test_large_query_tables_take_blocks(spark, monkeypatch):
     v = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.col("id") + 1.0, F.lit(3.0)).alias("embedding"))
     q = v.select(F.col("vec_id").alias("qi"), F.col("embedding").alias("q"))
     small = sorted(retrieval.top_k_batch(v, q, 3).collect())
-    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 3)
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_BYTES", 24)
     assert sorted(retrieval.top_k_batch(v, q, 3, blocks=4).collect()) == small
 
 
@@ -107,22 +113,58 @@ CHUNKS = "id string, source string, page_start int, page_end int, section string
 def test_second_update_changes_nothing(spark):
     chunks = spark.createDataFrame([("a", "s", 1, 1, "x", "t"), ("b", "s", 2, 2, None, "u"), ("a", "s", 1, 1, "x", "t")], CHUNKS)
     new, stats, _ = index_incremental(spark.createDataFrame([], CHUNKS), chunks)
-    assert tuple(stats.first()) == (3, 3, 0, 0) and new.count() == 2
+    assert tuple(stats.first()) == ("s", 3, 3, 0, 0) and new.count() == 2
     again, stats, summary = index_incremental(new, chunks)
-    assert tuple(stats.first()) == (3, 0, 0, 3) and summary.count() == 0 and again.count() == 2
+    assert tuple(stats.first()) == ("s", 3, 0, 0, 3) and summary.count() == 0 and again.count() == 2
 
 
 def test_empty_chunk_sets(spark):
     old = spark.createDataFrame([("a", "s", 1, 1, "x", "t")], CHUNKS)
     none = spark.createDataFrame([], CHUNKS)
-    kept, stats, _ = index_incremental(old, none, keep_when_empty=True)
-    assert kept.count() == 1 and tuple(stats.first()) == (0, 0, 0, 0)
-    gone, stats, _ = index_incremental(old, none)
-    assert gone.count() == 0 and tuple(stats.first()) == (0, 0, 1, 0)
+    source = spark.createDataFrame([("s",)], "source string")
+    for kept, stats, _ in (index_incremental(old, none), index_incremental(old, none, source)):
+        assert kept.count() == 1 and stats.count() == 0
+    gone, stats, _ = index_incremental(old, none, source, keep_when_empty=False)
+    assert gone.count() == 0 and tuple(stats.first()) == ("s", 0, 0, 1, 0)
+
+
+def test_an_update_of_one_source_leaves_the_others(spark):
+    old = spark.createDataFrame([("a", "A", 1, 1, "x", "t"), ("b", "B", 1, 1, "x", "u"), ("gone", "A", 1, 1, "x", "v")], CHUNKS)
+    new, stats, _ = index_incremental(old, spark.createDataFrame([("a", "A", 5, 5, "x", "t")], CHUNKS))
+    assert sorted((r.id, r.page_start) for r in new.collect()) == [("a", 5), ("b", 1)] and tuple(stats.first()) == ("A", 1, 0, 1, 1)
+
+
+def test_update_job_and_store_parts(spark, tmp_path):
+    table = StoreTable(spark, str(tmp_path / "store"), parts=8)
+    chunks = lambda *rows: spark.createDataFrame(list(rows), CHUNKS)
+    known = spark.createDataFrame([], "name string, sha256 string")
+    fetched = spark.createDataFrame([("A", "1"), ("B", "2")], "name string, sha256 string")
+    both = chunks(("a", "A", 1, 1, "x", "t"), ("b", "B", 2, 2, "y", "u"))
+    entries = update_job(table, both, CHUNKS, known, fetched, "now").collect()
+    assert sorted((r.source, r.chunks_before, r.chunks_after, r.chunks_added, r.chunks_removed, len(r.diff_sections)) for r in entries) == [("A", 0, 2, 2, 0, 1), ("B", 0, 2, 2, 0, 1)]
+    folders = table.folders()
+    after = spark.createDataFrame([("A", "3"), ("B", "2")], "name string, sha256 string")
+    entries = update_job(table, chunks(("c", "A", 1, 1, "x", "w")), CHUNKS, fetched, after, "now").collect()
+    assert [(r.source, r.chunks_before, r.chunks_after, r.chunks_added, r.chunks_removed) for r in entries] == [("A", 2, 2, 1, 1)]
+    assert sorted(r.id for r in table.read(CHUNKS).collect()) == ["b", "c"]
+    assert len(set(folders.values()) & set(table.folders().values())) == 1  # the other source's part isn't rewritten
+    assert update_job(table, both, CHUNKS, after, after, "now").count() == 0
+    update_job(table, both, CHUNKS, after, after, "now", force=True).collect()
+    assert sorted(r.id for r in table.read(CHUNKS).collect()) == ["a", "b"]
+    table.reset()
+    assert table.read(CHUNKS).count() == 0
+
+
+def test_stream_of_whole_sources_deletes_orphans(spark, tmp_path):
+    table, files = StoreTable(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    for rows in ([("a", "s", 1, 1, "x", "t"), ("b", "s", 2, 2, "x", "u"), ("z", "other", 1, 1, "x", "t")], [("b", "s", 3, 3, "x", "u")]):
+        spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").parquet(files)
+        maintain(spark, files, CHUNKS, table, str(tmp_path / "cp"), whole_sources=True).awaitTermination()
+    assert sorted((r.id, r.page_start) for r in table.read(CHUNKS).collect()) == [("b", 3), ("z", 1)]
 
 
 def test_changelog(spark):
-    base = {"ts": "2024-01-01T00:00:00", "source": "s", "sha256": "x", "bytes": 1, "chunks_before": 1, "chunks_after": 2, "duration_sec": 1.0}
+    base = {"ts": "2024-01-01T00:00:00", "source": "s", "broadcom_last_modified": None, "sha256": "x", "bytes": 1, "chunks_before": 1, "chunks_after": 2, "duration_sec": 1.0}
     full = base | {"ts": "2024-01-02T00:00:00", "chunks_added": 1, "chunks_removed": 0, "diff_sections": [{"section": "a", "added": 1, "removed": 0, "pages": [1, 2]}]}
     lines = [json.dumps(base), "", "{broken", json.dumps(base | {"what": 1}), json.dumps(full), json.dumps({"ts": "x"})]
     got = parse_entries(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
