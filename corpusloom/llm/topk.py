@@ -1,13 +1,15 @@
 """Exact top-k inner-product search by no-random-access aggregation over sorted lists.
 
-Method. Rows lie in blocks. In a block every dimension is a list sorted by component; a query
-reads it from the end that its own component favours, so the values it meets only
-get worse. At some depth a row's lower bound is the sum of the terms read so far plus, for
-each list in which it hasn't appeared, the worst term of that list; its upper bound takes
-the term at the reading front instead. Reading goes on, deeper by a factor at each round and for
-all queries of a block at once, until no row outside the k best lower bounds can
-reach the k-th of them. The final scores of the rows that are still possible are then resolved.
-No row is looked up before that. Only a query's k best rows leave a block.
+Method. Rows lie in blocks, which stay where they are. In a block every dimension is a list sorted by component; a query reads each list
+from the end that its own component favours, in steps, so the values it meets only get worse. What it has met of a row adds up; the
+row's upper bound takes the value at the reading front for each list in which it hasn't met it, and of a row that no
+list has shown yet it is the sum of the fronts. The lower bound to beat is the query's k-th best score so far: a first bounded sample of rows gives
+one, and each block that a task has finished raises it. A block whose fronts can't reach it at the outset is skipped unread.
+Reading stops for a query when few rows can still reach its bound; only their final scores are resolved, and rows outside
+them can't qualify. A query that never gets there reads its lists to the end, where bounds are scores.
+
+Queries go to the tasks as a matrix of bounded size; more of them are answered in several passes over the blocks. Of
+each task and query only the k best rows leave.
 """
 
 from __future__ import annotations
@@ -22,45 +24,69 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, spread
 from corpusloom.llm.vectors import is_usable, pack_rows
 
+#: Bytes of query vectors in a pass, rows of the first sample, queries of a step's matrices.
+QUERY_BYTES, SEED_ROWS, TOGETHER = 32 << 20, 2048, 256
+#: Shares of the lists that are read before bounds are looked at; a query stops reading when at most this share of rows is possible.
+STEPS, FEW = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), 1 / 32
+
+
+class Best:
+    """The k best rows of each query so far: best scores first, ties to smaller ids, a row's id and score once."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
+        self.queries, self.ids, self.k = queries, ids, k
+        self.floor = np.full(len(ids), -np.inf)
+        self.q, self.row, self.score = (np.empty(0, np.int64) for _ in range(3))
+
+    def add(self, q: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        far = self.ids[q] != row
+        q, row, score = (np.concatenate(x) for x in ((self.q, q[far]), (self.row, row[far]), (self.score, score[far])))
+        order = np.lexsort((row, -score, q))
+        q, row, score = q[order], row[order], score[order]
+        fresh = np.ones(len(q), bool)
+        fresh[1:] = (q[1:] != q[:-1]) | (row[1:] != row[:-1]) | (score[1:] != score[:-1])
+        q, row, score = q[fresh], row[fresh], score[fresh]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        self.q, self.row, self.score = q[keep], row[keep], score[keep]
+        last = place == self.k - 1
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], score[last])
+
 
-def nra_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, row, score) for the k best rows of each query, ties to smaller ids, the query's own row aside.
+def search(best: Best, rows: np.ndarray, ids: np.ndarray) -> tuple[int, int]:
+    """Adds a block's rows that can be among the best, with their scores; entries read and rows resolved, over all queries.
 
     All values are integers, kept as doubles, so that sums are exact.
     """
     n, dim = rows.shape
-    if not n or not len(queries):
-        return []
     up = np.sort(rows, axis=0)
     rank = np.argsort(np.argsort(rows, axis=0, kind="stable"), axis=0, kind="stable")
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    # the worst term that a list can give to a query
-    worst = plus @ up[0] + minus @ up[-1]
-    active, found = np.arange(len(queries)), []
-    depth = max(4 * k, n // 4)
-    while len(active):
-        depth = min(depth, n)
-        p, m, q = plus[active], minus[active], q_ids[active]
-        high, low = rank >= n - depth, rank < depth  # rows met in lists read from the top, and from the bottom
-        seen = p @ np.where(high, rows, 0).T + m @ np.where(low, rows, 0).T
-        lower = seen + p @ np.where(high, 0, up[0]).T + m @ np.where(low, 0, up[-1]).T
-        upper = lower if depth == n else seen + p @ np.where(high, 0, up[n - depth]).T + m @ np.where(low, 0, up[depth - 1]).T
-        own = q[:, None] == ids[None, :]
-        lower = np.where(own, -np.inf, lower)
-        upper = np.where(own, -np.inf, upper)
-        at = max(0, n - k)
-        kth = np.partition(lower, at, axis=1)[:, at] if n >= k else np.full(len(active), -np.inf)
-        possible = upper >= kth[:, None]
-        count = possible.sum(axis=1)
-        stop = (count <= 16 * k) | (depth == n)
-        for a in np.nonzero(stop)[0]:
-            rest = np.nonzero(possible[a] & ~own[a])[0]
-            score = rows[rest] @ queries[active[a]]
-            best = np.lexsort((ids[rest], -score))[:k]
-            found += [(int(q[a]), int(ids[rest[b]]), int(score[b])) for b in best]
-        active = active[~stop]
-        depth *= 2
-    return found
+    read = resolved = 0
+    for begin in range(0, len(best.ids), TOGETHER):
+        active = np.arange(begin, min(begin + TOGETHER, len(best.ids)))
+        plus, minus = np.maximum(best.queries[active], 0), np.minimum(best.queries[active], 0)
+        reach = plus @ up[-1] + minus @ up[0] >= best.floor[active]
+        active, plus, minus = active[reach], plus[reach], minus[reach]
+        seen, depth = np.zeros((len(active), n)), 0
+        for step in STEPS:
+            if not len(active):
+                break
+            last, depth = depth, max(1, round(step * n))
+            if depth == last:
+                continue
+            # what this step meets in lists read from the top, and from the bottom
+            seen += plus @ np.where((rank >= n - depth) & (rank < n - last), rows, 0).T + minus @ np.where((rank < depth) & (rank >= last), rows, 0).T
+            upper = seen if depth == n else seen + (plus * up[n - depth]) @ (rank < n - depth).T.astype(float) + (minus * up[depth - 1]) @ (rank >= depth).T.astype(float)
+            possible = upper >= best.floor[active][:, None]
+            read += len(active) * (depth - last) * dim
+            stop = (possible.sum(axis=1) <= max(best.k, n * FEW)) | (depth == n)
+            a, r = np.nonzero(possible & stop[:, None])
+            for i in range(0, len(a), 1 << 16):
+                q, own = active[a[i : i + (1 << 16)]], r[i : i + (1 << 16)]
+                best.add(q, ids[own], (best.queries[q] * rows[own]).sum(axis=1).astype(np.int64))
+            resolved += len(a)
+            active, plus, minus, seen = active[~stop], plus[~stop], minus[~stop], seen[~stop]
+    return read, resolved
 
 
 def exact_top_k(
@@ -71,7 +97,6 @@ def exact_top_k(
     scale: int = 256,
     query_every: int = 50,
     row_block: int = 4096,
-    query_block: int = 256,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best rows for each query, ranks from 1.
 
@@ -91,38 +116,43 @@ def exact_top_k(
         .where(F.col("id").isNotNull() & is_usable(F.col("v"), zero_counts=True))
         .withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     )
-    blocks = scratch.save(pack_rows(used.repartition(spread(spark, 0, 1), "id"), row_block), "blocks")
-    asked = used.where(F.pmod("id", F.lit(query_every)) == 0)
-    questions = scratch.save(pack_rows(asked.repartition(spread(spark, 0, 1), "id"), query_block), "questions")
-    # every block of queries meets every block of rows: the side that is copied is the list of query blocks' names, not rows
-    dims = questions.select(F.col("part").alias("qpart"), F.col("seq").alias("qseq"), (F.length("vecs") / 8 / F.col("n")).cast("int").alias("dim"))
-    named = blocks.select("part", "seq", (F.length("vecs") / 8 / F.col("n")).cast("int").alias("dim"))
-    salt = 64
-    pairs = (
-        named.withColumn("salt", F.pmod(F.xxhash64("part", "seq"), F.lit(salt)))
-        .join(dims.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))), ["dim", "salt"])
-        .select("part", "seq", "qpart", "qseq")
-    )
-    met = (
-        pairs.join(questions.select(F.col("part").alias("qpart"), F.col("seq").alias("qseq"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs")), ["qpart", "qseq"])
-        .join(blocks, ["part", "seq"])
-        .select("qids", "qvecs", "qn", "ids", "vecs", "n")
-    )
+    n = used.count()
+    blocks = scratch.save(pack_rows(used.repartition(spread(spark, n, 32 * row_block)), row_block), "blocks")
+    # repeated rows are one query
+    asked = scratch.save(used.where(F.pmod("id", F.lit(query_every)) == 0).distinct().withColumn("pass", F.xxhash64("id", "v")), "questions")
+    numbers = asked.agg(F.sum(F.size("v"))).first()[0] or 0
+    passes = max(1, -(-8 * numbers // QUERY_BYTES))
+    luck = F.pmod(F.xxhash64("id", "v", F.lit(3)), F.lit(1 << 30))
+    seeds = used.where(luck < int((1 << 30) * min(1.0, SEED_ROWS / max(1, n)))).distinct().collect()
+    by_length = lambda rows: {d: (np.array([r.v for r in own], np.float64), np.array([r.id for r in own], np.int64)) for d in {len(r.v) for r in rows} if (own := [r for r in rows if len(r.v) == d])}
+    sample = by_length(seeds)
+
+    def answered(rows: list) -> DataFrame:
+        questions = {d: Best(vecs, ids, k) for d, (vecs, ids) in by_length(rows).items()}
+        for d, best in questions.items():
+            if d in sample:
+                search(best, *sample[d])
+        floors = {d: (best.queries, best.ids, best.floor) for d, best in questions.items()}
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                out += nra_top(
-                    np.frombuffer(r.qvecs).reshape(r.qn, -1), np.frombuffer(r.qids, np.int64), np.frombuffer(r.vecs).reshape(r.n, -1), np.frombuffer(r.ids, np.int64), k
-                )
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = {}
+            for d, (vecs, ids, floor) in floors.items():
+                found[d] = Best(vecs, ids, k)
+                found[d].floor = floor.copy()
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    vecs = np.frombuffer(r.vecs).reshape(r.n, -1)
+                    if vecs.shape[1] in found:
+                        search(found[vecs.shape[1]], vecs, np.frombuffer(r.ids, np.int64))
+            for best in found.values():
+                yield pd.DataFrame({"query_id": best.ids[best.q], "vec_id": best.row, "score": best.score})
 
+        return blocks.select("n", "ids", "vecs").mapInPandas(task, "query_id long, vec_id long, score long")
+
+    scored = None
+    for i in range(passes):
+        rows = asked.where(F.pmod("pass", F.lit(passes)) == i).select("id", "v").collect()  # about QUERY_BYTES
+        part = scratch.save(answered(rows), f"found{i}")
+        scored = part if scored is None else scored.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        met.mapInPandas(search, "query_id long, vec_id long, score long")
-        .distinct()
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return scored.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
