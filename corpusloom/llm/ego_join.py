@@ -2,11 +2,15 @@
 
 Method. Vectors of unit length whose cosine is at least t are at most eps = sqrt(2 - 2t) apart. Leading principal
 dimensions come from a bounded sample (they only steer the pruning, never the result); each group is sorted by
-the grid cells, eps wide, of its vectors on them. Consecutive rows form sequence intervals. Two
-intervals whose boxes on the leading dimensions are over eps apart are skipped unseen; the others are
+the grid cells, eps wide, of its vectors on them. Consecutive rows form sequence intervals. As linked vectors lie in the same or in
+neighbouring cells, intervals meet by the cells of the first dimension, and two whose boxes are over eps apart are skipped unseen. A
+box covers the leading dimensions and the length of what lies outside them, in which linked vectors can't differ by more either. The others are
 joined recursively, halving both and skipping distant halves, down to small blocks that are compared
 by cosine in double precision. A pair of intervals reports each vector's number of links and a
 spanning forest of them, never the links themselves.
+
+Where directions are spread evenly over many dimensions every box touches every other, and a label is compared whole, in blocks; the
+time is then that of the products, and what moves is each interval once for each other one.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from corpusloom.llm.common import Scratch, connected_components, spread
 from corpusloom.llm.vectors import is_usable
 
 #: Rows from which the principal dimensions are taken; leading dimensions; those that order the grid; rows of an interval and of a leaf.
-SAMPLE, LEADING, GRID, INTERVAL, LEAF = 20_000, 16, 4, 1024, 128
+SAMPLE, LEADING, GRID, INTERVAL, LEAF = 20_000, 16, 4, 8192, 128
 #: Room for rounding in the projections.
 _SAFE = 1e-6
 
@@ -94,28 +98,30 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     eps = math.sqrt(2 - 2 * threshold) + _SAFE
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & is_usable(F.col("v"), zero_counts=False)
-    # the 64-bit digest stands for a row's label and vector: copies are compared once
-    seen = rows.withColumn("cls", F.when(fit, F.xxhash64("label", F.transform("v", lambda x: x + 0.0))))
-    counted = scratch.save(
-        seen.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "classes"
-    )
+    # 128 bits stand for a row's label and vector: copies are compared once
+    same = F.transform("v", lambda x: x + 0.0)
+    seen = rows.withColumn("c1", F.when(fit, F.xxhash64("label", same))).withColumn("c2", F.when(fit, F.xxhash64(F.lit(11), "label", same)))
     distinct = scratch.save(
-        seen.where("cls is not null").join(counted.select("cls", F.col("rep").alias("id"), "w"), ["cls", "id"]).dropDuplicates(["cls"]).withColumn("grp", F.xxhash64("label", F.size("v"))),
+        seen.where("c1 is not null")
+        .groupBy("c1", "c2")
+        .agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v"), F.first("label").cast("string").alias("label"))
+        .select(F.monotonically_increasing_id().alias("cls"), "c1", "c2", "rep", "w", "v", F.concat_ws(":", F.size("v").cast("string"), "label").alias("grp")),
         "distinct",
     )
     n = distinct.count()
     share = min(1.0, SAMPLE / max(1, n))
-    sample = [np.array(r.v) for r in distinct.where(F.pmod(F.xxhash64("cls", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("v").limit(2 * SAMPLE).collect()]
+    sample = [np.array(r.v) for r in distinct.where(F.pmod(F.col("c2"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("v").limit(2 * SAMPLE).collect()]
     axes: dict[int, np.ndarray] = {}
     for dim in {len(v) for v in sample}:
         u = unit(np.stack([v for v in sample if len(v) == dim]))
         axes[dim] = np.linalg.eigh(u.T @ u)[1][:, ::-1][:, :LEADING]
 
     def project(u: np.ndarray) -> np.ndarray:
-        """On the leading dimensions; a length that the sample lacks keeps its first ones. Missing dimensions are 0."""
-        out = np.zeros((len(u), LEADING))
+        """On the leading dimensions, and the length outside them; a length that the sample lacks keeps its first ones. Missing dimensions are 0."""
+        out = np.zeros((len(u), LEADING + 1))
         p = u @ axes[u.shape[1]] if u.shape[1] in axes else u[:, :LEADING]
         out[:, : p.shape[1]] = p
+        out[:, LEADING] = np.sqrt(np.maximum(0, 1 - (p * p).sum(axis=1)))
         return out
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +135,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     order = ["grp", *(f"c{i}" for i in range(GRID)), "cls"]
     keyed = scratch.save(
-        distinct.select("grp", "cls", F.col("id").alias("rep"), "w", "v").mapInPandas(cells, "grp long, cls long, rep long, w long, v array<double>, " + ", ".join(f"c{i} long" for i in range(GRID))),
+        distinct.select("grp", "cls", "rep", "w", "v").mapInPandas(cells, "grp string, cls long, rep long, w long, v array<double>, " + ", ".join(f"c{i} long" for i in range(GRID))),
         "keyed",
     )
 
@@ -144,13 +150,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             seq += 1
             raw = np.stack(g["v"].to_numpy())
             p = project(unit(raw))
-            return (part * (1 << 32) + seq, int(g["grp"].iloc[0]), len(g), list(p.min(0)), list(p.max(0)), *(g[c].to_numpy(np.int64).tobytes() for c in ("cls", "rep", "w")), raw.tobytes())
+            first = g["c0"].to_numpy()
+            return (part * (1 << 32) + seq, g["grp"].iloc[0], len(g), int(first[0]), int(first[-1]), list(p.min(0)), list(p.max(0)), *(g[c].to_numpy(np.int64).tobytes() for c in ("cls", "rep", "w")), raw.tobytes())
 
-        names = ["block", "grp", "n", "lo", "hi", "cls", "rep", "w", "vecs"]
+        names = ["block", "grp", "n", "c_lo", "c_hi", "lo", "hi", "cls", "rep", "w", "vecs"]
         for pdf in batches:
             pdf = pd.concat([held, pdf]) if held is not None else pdf
             out = []
-            starts = [0, *(np.nonzero(np.diff(pdf["grp"].to_numpy()))[0] + 1), len(pdf)]
+            grp = pdf["grp"].to_numpy()
+            starts = [0, *(np.nonzero(grp[1:] != grp[:-1])[0] + 1), len(pdf)]
             held = None
             for i, j in zip(starts, starts[1:], strict=False):
                 full = i + (j - i) // INTERVAL * INTERVAL
@@ -167,17 +175,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     blocks = scratch.save(
         keyed.repartitionByRange(max(1, -(-n // (8 * INTERVAL))), *order).sortWithinPartitions(*order).mapInPandas(
-            intervals, "block long, grp long, n int, lo array<double>, hi array<double>, cls binary, rep binary, w binary, vecs binary"
+            intervals, "block long, grp string, n int, c_lo long, c_hi long, lo array<double>, hi array<double>, cls binary, rep binary, w binary, vecs binary"
         ),
         "blocks",
     )
-    box = blocks.select("block", "grp", "lo", "hi")
+    # an interval's rows are sorted by their first cell: it meets those that have a cell of its own or a neighbour
+    box = blocks.select("block", "grp", "lo", "hi", F.explode(F.sequence("c_lo", "c_hi")).alias("cell"))
+    other = blocks.select(F.col("block").alias("block2"), "grp", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.col("c_lo") - 1, F.col("c_hi") + 1)).alias("cell"))
     gap = "aggregate(zip_with(zip_with(lo, hi2, (x, y) -> x - y), zip_with(lo2, hi, (x, y) -> x - y), (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x)"
     pairs = scratch.save(
-        box.join(box.select(F.col("block").alias("block2"), "grp", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "grp")
+        box.join(other, ["grp", "cell"])
         .where("block <= block2")
         .where(F.expr(gap) <= eps * eps)
-        .select("block", "block2"),
+        .select("block", "block2")
+        .distinct(),
         "pairs",
     )
     second = blocks.select(F.col("block").alias("block2"), *(F.col(c).alias(f"{c}2") for c in ("n", "cls", "rep", "w", "vecs")))
@@ -202,8 +213,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     joined = scratch.save(met.mapInPandas(join, "cls long, links long, a long, b long"), "joined")
     links = joined.groupBy("cls").agg(F.sum("links").alias("links"))
-    per_class = scratch.save(counted.join(links, "cls", "left").select("cls", "rep", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links")), "linked")
-    rowed = seen.select("id", "cls").join(per_class, "cls", "left")
+    per_class = scratch.save(distinct.select("cls", "c1", "c2", "rep", "w").join(links, "cls", "left").select("c1", "c2", "rep", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links")), "linked")
+    rowed = seen.select("id", "c1", "c2").join(per_class, ["c1", "c2"], "left")
     edges = joined.select("a", "b").unionByName(rowed.where("rep is not null and id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     comps = scratch.save(connected_components(edges, scratch), "components")
     return rowed.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select(

@@ -4,8 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.llm import ego_join
 from corpusloom.llm.ego_join import near_duplicates
+from corpusloom.llm import ego_join, topk
 from corpusloom.llm.topk import exact_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -87,7 +87,42 @@ def top(spark, rows, **kw):
 @pytest.mark.parametrize("block", [4096, 37])
 def test_top_k(spark, block):
     rows = clustered(400, 16, 2)
-    assert top(spark, rows, row_block=block, query_block=3) == best(rows)
+    assert top(spark, rows, row_block=block) == best(rows)
+
+
+def test_top_k_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BYTES", 300)
+    rows = clustered(400, 16, 2)
+    assert top(spark, rows, row_block=64) == best(rows)
+
+
+def test_lists_are_not_read_to_the_end():
+    r = np.random.default_rng(6)
+    rows = np.floor(256 * ego_join.unit(r.normal(size=(6000, 24))))
+    ids = np.arange(6000)
+    found = topk.Best(rows[::200], ids[::200], 5)
+    topk.search(found, rows[:1000], ids[:1000])
+    read, resolved = topk.search(found, rows[1000:], ids[1000:])
+    assert read < 0.8 * 30 * 5000 * 24 and resolved < 30 * 5000 / 16
+    scores = rows[::200] @ rows.T
+    scores[np.arange(30), ids[::200]] = -np.inf
+    assert (np.sort(found.score.reshape(30, 5), axis=1) == np.sort(scores, axis=1)[:, -5:]).all()
+    # a block whose fronts can't reach the bound isn't read
+    assert topk.search(found, np.zeros((100, 24)), np.arange(10_000, 10_100)) == (0, 0)
+
+
+def test_distant_intervals_are_skipped():
+    """Two far clusters: of the block products between them none is made, and no link is lost."""
+    r = np.random.default_rng(7)
+    a, b = np.zeros(8), np.zeros(8)
+    a[0], b[1] = 1, 1
+    x, y = (ego_join.unit(c + 0.05 * r.normal(size=(700, 8))) for c in (a, b))
+    eps = 0.5
+    assert not list(ego_join._links(x, y, x[:, :4], y[:, :4], 1 - eps * eps / 2, eps, False))
+    mixed = np.concatenate((x, y))
+    got = {(int(i), int(j)) for i, j in zip(*(np.concatenate(z) for z in zip(*ego_join._links(mixed, mixed, mixed[:, :4], mixed[:, :4], 1 - eps * eps / 2, eps, True), strict=True)), strict=True)}
+    i, j = np.nonzero(np.triu(mixed @ mixed.T >= 1 - eps * eps / 2, 1))
+    assert got == set(zip(i.tolist(), j.tolist(), strict=True))
 
 
 def test_top_k_edge_cases(spark):
