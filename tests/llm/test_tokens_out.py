@@ -111,3 +111,29 @@ def test_samples_depend_on_the_row_alone(spark):
     rows = [(i, f"some words of text {i} again") for i in range(50)]
     key = lambda df: sorted((r.doc_id, r.sample, r.ids_crc32) for r in ps.sample_segmentations(df, PIECES, with_ids=False).collect())
     assert key(spark.createDataFrame(rows, SCHEMA).coalesce(1)) == key(spark.createDataFrame(rows[::-1], SCHEMA).repartition(7))
+
+
+def test_others_of_an_edge_by_brute_force():
+    """However unlikely the others are; a lone edge has none."""
+    for alpha in (1.0, 6.0, 40.0):
+        model = ps.piece_model(PIECES, alpha)
+        model.of(["some words of a text and others", "x"])
+        edges = np.arange(model.n_edges)
+        for e, got in zip(edges, model.beside(edges), strict=True):
+            others = [math.log(model.chance[x]) for x in model.edges_beside(e) if x != e]
+            expected = np.logaddexp.reduce(others) if others else -np.inf
+            assert got == expected or abs(got - expected) < 1e-6
+
+
+def test_long_texts_and_unlikely_segmentations():
+    """A text over the size that is taken together, and one whose other segmentations are all very unlikely."""
+    model = ps.piece_model(PIECES, 8.0)
+    long = "some words of text " * 60_000
+    assert len(long) > ps.TOGETHER
+    (rows,) = ps.sample_texts(model, [long], np.array([5], np.uint64), 3)
+    assert len({tuple(x[0].tolist()) for x in rows}) == 3 and all(model.decode(x[0]) == long for x in rows)
+    sharp = ps.piece_model(PIECES, 60.0)
+    for text in ("the", "the of", "in"):
+        (rows,) = ps.sample_texts(sharp, [text], np.array([3], np.uint64), 3)
+        (many,) = ps.sample_texts(model, [text], np.array([3], np.uint64), 3)
+        assert len(rows) == len(many) == len({tuple(x[0].tolist()) for x in rows})
