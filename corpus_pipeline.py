@@ -4,6 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writ
 shared folder and rereads it as the next one's documents. All stages but the last return the columns of
 ``documents``. A stage works on whatever its predecessor kept, and handles what its operator handles
 (nulls, empty and long texts, repeated rows, empty tables); columns beyond ``doc_id`` and ``text`` pass through.
+Ties: a score of exactly 0.5 counts as good in the first stage and as toxic in the second; of equal or near texts the smallest id stays; equal
+lengths are packed in any order.
 """
 
 from __future__ import annotations
