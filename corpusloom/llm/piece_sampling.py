@@ -103,6 +103,7 @@ class PieceModel:
         self.root = np.zeros(1024, np.int32)  # of each word, its first node
         self.edge0 = np.zeros(8192, np.int32)  # of each node, its first edge; one more at the end
         self.chance = np.zeros(32768)  # of edges; none is 0, so that each can be drawn
+        self.log = np.zeros(32768)  # of their chances
         self.node = np.zeros(32768, np.int32)  # of each edge
         self.piece, self.to = np.zeros(32768, np.int32), np.zeros(32768, np.int32)  # the piece; the next node, or -1 at a word's end
 
@@ -173,6 +174,7 @@ class PieceModel:
         self._put("root", len(self.words), first + base)
         self._put("edge0", base, edge0 + edges)
         self._put("chance", edges, chance)
+        self._put("log", edges, np.log(chance))
         self._put("node", edges, node + base)
         self._put("piece", edges, piece)
         self._put("to", edges, np.where(ends, -1, node + step + base))
@@ -283,7 +285,7 @@ def sample_texts(model: PieceModel, texts: list[str], seeds: np.ndarray, k: int)
 
         Steps go in parts, until not even the luckiest draw of a later one could be among the k + 1 best."""
         p = paths[d][which]
-        log = np.log(model.chance[p["edges"]])
+        log = model.log[p["edges"]]
         own: list[tuple[float, int, int]] = []
         i, n = p["from"], len(log)
         before = float(log[:i].sum())
@@ -311,7 +313,7 @@ def sample_texts(model: PieceModel, texts: list[str], seeds: np.ndarray, k: int)
         # the first steps of all first paths together
         near = np.flatnonzero(np.arange(len(edges)) - np.repeat(cut[:-1], np.diff(cut)) < STEPS)
         row = np.repeat(np.arange(len(texts)), np.diff(cut))
-        log = np.log(model.chance[edges])
+        log = model.log[edges]
         sums = np.concatenate(([0.0], np.cumsum(log)))
         beside = model.beside(edges[near])
         at = near[beside > -np.inf]

@@ -137,3 +137,16 @@ def test_long_texts_and_unlikely_segmentations():
         (rows,) = ps.sample_texts(sharp, [text], np.array([3], np.uint64), 3)
         (many,) = ps.sample_texts(model, [text], np.array([3], np.uint64), 3)
         assert len(rows) == len(many) == len({tuple(x[0].tolist()) for x in rows})
+
+
+def test_the_query_gives_four_whole_segmentations_of_each_text(spark):
+    from corpusloom.llm.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    got = QUERIES["op4_sentencepiece_sampling"](spark, data)
+    texts = {r.doc_id: r.text.replace(ps.MARK, " ") for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    samples = {}
+    for r in ps.decode_segmentations(got, PIECES).collect():
+        assert r.decoded == texts[r.doc_id] and r.n_ids == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        samples.setdefault(r.doc_id, []).append(tuple(r.ids))
+    assert samples.keys() == texts.keys() and all(len(set(x)) == len(x) == 4 for x in samples.values())
