@@ -87,10 +87,11 @@ def _unit_at(seed: np.ndarray, at: np.ndarray, which: int) -> np.ndarray:
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The whole numbers from each start, so many as its size."""
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if total < 1 << 31 and (not len(start) or int(np.max(start)) + total < 1 << 31) else np.int64
-    out = np.repeat((start - (ends - size)).astype(kind), size)
+    total = int(size.sum())
+    kind = np.int32 if start.dtype == np.int32 and total < 1 << 31 else np.int64
+    lead = np.cumsum(size, dtype=kind)
+    lead -= size.astype(kind, copy=False)
+    out = np.repeat(np.subtract(start, lead, out=lead), size)
     out += np.arange(total, dtype=kind)
     return out
 
@@ -156,11 +157,14 @@ class PieceModel:
             keys, states, slot = (np.delete(x, put) for x in (keys, states, slot))
             slot = (slot + np.uint64(1)) & self.slots
         self.places = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+        self.chance = None
         self.reset()
 
     def reset(self) -> None:
         self.n_words = self.n_chars = self.n_nodes = self.n_edges = 0
         self.keys, self.key_word = np.empty(0, np.uint64), np.empty(0, np.int32)  # hashes of words in order, and the words
+        if self.chance is not None and len(self.chance) <= 4 * KEPT_NODES:
+            return  # the room stays
         self.root = np.zeros(1024, np.int32)  # of each word, its first node
         self.size, self.char0 = np.zeros(1024, np.int32), np.zeros(1024, np.int32)  # of each word, its characters among chars
         self.chars = np.zeros(8192, np.uint32)
@@ -298,7 +302,7 @@ class PieceModel:
         """Hashes of words: sums over their characters, each times a number that stands for its place."""
         if len(self.places) < size.max():
             self.places = mix(np.arange(1, 2 * int(size.max()) + 1, dtype=np.uint64)) | np.uint64(1)
-        x = self.places[_ranges(np.zeros(len(size), np.int64), size)]
+        x = self.places[_ranges(np.zeros(len(size), np.int32), size)]
         x *= codes
         return mix(np.add.reduceat(x, start) + size.astype(np.uint64) * _BASE)
 
@@ -318,7 +322,9 @@ class PieceModel:
         begins[(ends - length)[length > 0]] = True
         start = np.flatnonzero(begins)
         size = np.diff(np.append(start, len(codes)))
-        words = np.searchsorted(start, ends) - np.searchsorted(start, ends - length)
+        if len(codes) < 1 << 31:
+            start, size = start.astype(np.int32), size.astype(np.int32)
+        words = np.diff(np.searchsorted(start, np.append(0, ends)))
         keys, one, which = np.unique(self._hash(codes, start, size), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
@@ -342,26 +348,24 @@ class PieceModel:
         return word, words
 
     def walk(self, node: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Draws edges from each node to its word's end: the edges of all walkers in order, and where each one's start (and the last one's end)."""
-        at, alive, steps = node, np.arange(len(node), dtype=np.int32), []
+        """Draws edges from each node (none from -1) to its word's end: the edges of all walkers in order, and where each one's start (and the last one's end)."""
+        alive, steps = np.flatnonzero(node >= 0).astype(np.int32), []
+        at, base = node[alive], base[alive]
         size = np.zeros(len(node), np.int32)
         step = 0
         while len(alive):
             u = _unit(base, step)
             e = self.edge0[at]
-            last = self.edge0[at + 1] - 1
             u -= self.chance[e]
-            more = np.flatnonzero((u > 0) & (e < last))
-            if len(more):
-                e_more, u_more, last = e[more], u[more], last[more]
-                while True:
-                    e_more += 1
-                    u_more -= self.chance[e_more]
-                    e[more] = e_more
-                    on = np.flatnonzero((u_more > 0) & (e_more < last))
-                    if not len(on):
-                        break
-                    more, e_more, u_more, last = more[on], e_more[on], u_more[on], last[on]
+            more = np.flatnonzero(u > 0)
+            e_more, u_more, last = e[more], u[more], self.edge0[at[more] + 1] - 1
+            on = np.flatnonzero(e_more < last)
+            while len(on):
+                more, e_more, u_more, last = more[on], e_more[on], u_more[on], last[on]
+                e_more += 1
+                u_more -= self.chance[e_more]
+                e[more] = e_more
+                on = np.flatnonzero((u_more > 0) & (e_more < last))
             steps.append((alive, e))
             step += 1
             nxt = self.to[e]
@@ -439,17 +443,20 @@ class PieceModel:
         text = b"".join(parts).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    def gives_back(self, ids: np.ndarray, start: np.ndarray, texts: list[str]) -> list[bool]:
-        """Whether decoding the ids from each start to the next gives the text (with spaces for space marks)."""
+    def gives_back(self, ids: np.ndarray, start: np.ndarray, texts: list[str], of: np.ndarray) -> list[bool]:
+        """Whether decoding the ids from each start to the next gives the text of that number (with spaces for space marks)."""
         size = self.shown_size[ids]
-        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[start].tolist()
+        long = np.zeros(len(start) - 1, np.int64)
+        some = np.flatnonzero(np.diff(start))
+        if len(some):
+            long[some] = np.add.reduceat(size, start[some], dtype=np.int64)
         shown = self.shown[_ranges(self.shown_at[ids], size)].tobytes()
-        out = []
-        for i, text in enumerate(texts):
-            a, b = ends[i], ends[i + 1]
-            plain = text.replace(MARK, " ").encode("utf-8", "surrogatepass")
-            a += shown[a:b].startswith(b" ")
-            out.append(b - a == len(plain) and shown.startswith(plain, a))
+        plain = [t.replace(MARK, " ").encode("utf-8", "surrogatepass") for t in texts]
+        out, a = [], 0
+        for i, n in zip(of.tolist(), long.tolist(), strict=True):
+            skip = n > 0 and shown[a] == 32
+            out.append(n - skip == len(plain[i]) and shown.startswith(plain[i], a + skip))
+            a += n
         return out
 
 
@@ -482,7 +489,8 @@ def sample_paths(model: PieceModel, texts: list[str], seeds: np.ndarray, k: int)
     doc = np.repeat(np.arange(n_docs), words)
     place = np.arange(len(roots)) - np.repeat(first_word, words)
     at_place = seeds[doc] + (place.astype(np.uint64) + np.uint64(1)) * _BASE
-    drawn = [model.walk(roots, _scramble(at_place + np.uint64(n))) for n in range(k)]
+    later = np.where(place > 0, roots, -1)  # no other path than the first begins with a whole first word
+    drawn = [model.walk(later if n else roots, _scramble(at_place + np.uint64(n))) for n in range(k)]
     top = -np.log(-np.log(_unit(seeds, 1 << 40)))
     seed_of, word_0, word_1, top_of = seeds.tolist(), first_word.tolist(), last_word.tolist(), top.tolist()
     edges, starts = drawn[0]
@@ -541,9 +549,9 @@ def sample_paths(model: PieceModel, texts: list[str], seeds: np.ndarray, k: int)
                 some = np.flatnonzero(rest > -np.inf)
                 rest = rest[some]
             else:
-                some = np.flatnonzero(left + _LIFT >= wait_g[of].min(1)[here])
-                short = left[some] - wait_g[of].min(1)[here[some]]
-                lucky = 1 - _unit_at(seeds[of[here[some]]], place[some], which) <= np.exp(np.minimum(short + 0.01, 1))
+                short = left - least[here]
+                some = np.flatnonzero(short >= -_LIFT)
+                lucky = 1 - _unit_at(seeds[of][here[some]], place[some], which) <= np.exp(np.minimum(short[some] + 0.01, 1))
                 some = some[lucky]
                 rest = model.beside(flat[some])
                 some, rest = some[rest > -np.inf], rest[rest > -np.inf]
@@ -558,8 +566,9 @@ def sample_paths(model: PieceModel, texts: list[str], seeds: np.ndarray, k: int)
                 keep(of, wide, which, step)
             before = left[last - 1] + log[last - 1]
             begin = begin + size
-            on = np.flatnonzero((begin < end) & (before + _LIFT >= wait_g[of].min(1)))
-            at, of, top_g, begin, end, before = [at[i] for i in on.tolist()], of[on], top_g[on], begin[on], end[on], before[on]
+            least = wait_g[of].min(1)
+            on = np.flatnonzero((begin < end) & (before + _LIFT >= least))
+            at, of, top_g, begin, end, before, least = [at[i] for i in on.tolist()], of[on], top_g[on], begin[on], end[on], before[on], least[on]
             part = STEPS
 
     def word_at(d: int, which: int, step: int) -> int:
@@ -666,7 +675,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, alpha: fl
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
             sample = np.arange(len(doc)) - np.searchsorted(doc, doc)
             columns = [pa.array(keys, pa.int64()).take(pa.array(doc)), sample.astype(np.int32), np.diff(start).astype(np.int32), pa.array(crc, pa.int64()), logp, g, log_in]
-            columns.append(pa.array(model.gives_back(ids, start, [texts[d] for d in doc.tolist()]), pa.bool_()))
+            columns.append(pa.array(model.gives_back(ids, start, texts, doc), pa.bool_()))
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(ids)))
             return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=names)

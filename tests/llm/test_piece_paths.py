@@ -60,5 +60,5 @@ def test_round_trip_is_checked_on_the_ids():
     rows = [x[0][0] for x in ps.sample_texts(model, texts, np.arange(1, 5).astype(np.uint64), 1)]
     start = np.cumsum([0, *map(len, rows)])
     ids = np.concatenate(rows).astype(np.int32)
-    assert model.gives_back(ids, start, texts) == [True] * 4
-    assert model.gives_back(ids, start, ["a texts", "x", " two é", " x"]) == [False, False, False, True]
+    assert model.gives_back(ids, start, texts, np.arange(4)) == [True] * 4
+    assert model.gives_back(ids, start, ["a texts", "x", " two é", " x"], np.arange(4)) == [False, False, False, True]
